@@ -123,11 +123,15 @@ def tfidf_vectors(titles: DataFrame, vocabulary: DataFrame, low: int, high: int)
 
 
 def tfidf_ranking(queries: DataFrame, all_: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` by sparse dot product over an inverted index; only pairs that share a gram are met."""
+    """Best ``k`` by sparse dot product over an inverted index; only pairs that share a gram are met.
+
+    Scores are rounded to nine places, so that the order of summing cannot
+    decide between equal ones.
+    """
     q = queries.select(F.col("id").alias("query_id"), "feature_id", F.col("weight").alias("qw"))
     c = all_.select(F.col("id").alias("candidate_id"), "feature_id", F.col("weight").alias("cw"))
     met = q.join(c, "feature_id").where("query_id <> candidate_id")
-    scores = met.groupBy("query_id", "candidate_id").agg(F.sum(F.col("qw") * F.col("cw")).alias("score"))
+    scores = met.groupBy("query_id", "candidate_id").agg(F.round(F.sum(F.col("qw") * F.col("cw")), 9).alias("score"))
     return top_k(scores, k)
 
 

@@ -91,8 +91,8 @@ def _grams(low: int, high: int) -> str:
     return f"""
   {_TITLES},
   w AS (SELECT id, ' ' || unnest(list_filter(string_split(norm, ' '), lambda x: x <> '')) || ' ' AS p FROM t),
-  z AS (SELECT unnest(range({low}, {high + 1})) AS n),
-  g AS (SELECT id, substr(p, unnest(range(1, length(p) - n + 2))::INT, n::INT) AS gram FROM w CROSS JOIN z WHERE length(p) >= n)"""
+  ns AS (SELECT unnest(range({low}, {high + 1})) AS n),
+  g AS (SELECT id, substr(p, unnest(range(1, length(p) - n + 2))::INT, n::INT) AS gram FROM w CROSS JOIN ns WHERE length(p) >= n)"""
 
 
 def _vocabulary(most: int) -> str:
@@ -192,7 +192,7 @@ def oracle_sql() -> dict[str, str]:
     out["tfidf_weights"] = f"{_TFIDF} SELECT id, count(*) AS features, round(sum(weight), 6) AS total, round(max(weight), 6) AS largest FROM x GROUP BY id"
 
     title_topk = f"""{_TFIDF},
-  sc AS (SELECT a.id AS query_id, b.id AS candidate_id, sum(a.weight * b.weight) AS score FROM x a JOIN x b ON a.feature_id = b.feature_id AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY 1, 2),
+  sc AS (SELECT a.id AS query_id, b.id AS candidate_id, round(sum(a.weight * b.weight), 9) AS score FROM x a JOIN x b ON a.feature_id = b.feature_id AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY 1, 2),
   pool AS (SELECT id FROM t ORDER BY id LIMIT 41),
   al AS (SELECT * FROM sc UNION ALL SELECT q.id, p.id, 0 FROM t q JOIN pool p ON q.id <> p.id WHERE q.id % 20 = 0 AND (q.id, p.id) NOT IN (SELECT (query_id, candidate_id) FROM sc)),
   tk AS (SELECT query_id, candidate_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM al QUALIFY rank <= 20)"""
@@ -306,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
   SELECT (len(a.tok) + len(b.tok) > 0) AND a.tok <> b.tok AS conflict, count(*) AS n_pairs FROM up JOIN tk a ON left_posting_id = a.posting_id JOIN tk b ON right_posting_id = b.posting_id GROUP BY 1"""
     out["script_presence"] = r"""
   WITH c AS (SELECT DISTINCT row_number, unnest(string_split(title, '')) AS ch FROM listing WHERE title IS NOT NULL),
-  k AS (SELECT DISTINCT row_number, CASE WHEN regexp_matches(ch, '\\p{Nd}') THEN 'digits' WHEN regexp_matches(ch, '[\\x{400}-\\x{4FF}]') THEN 'cyrillic' WHEN regexp_matches(ch, '[\\p{Latin}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}]') THEN 'latin' END AS script FROM c)
+  k AS (SELECT DISTINCT row_number, CASE WHEN regexp_matches(ch, '\p{Nd}') THEN 'digits' WHEN regexp_matches(ch, '[\x{400}-\x{4FF}]') THEN 'cyrillic' WHEN regexp_matches(ch, '[\p{Latin}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}]') THEN 'latin' END AS script FROM c)
   SELECT script, count(*) AS titles FROM k WHERE script IS NOT NULL GROUP BY script"""
     out["digit_unit_digits"] = f"WITH {_TITLES} SELECT id AS row_number, array_to_string(regexp_extract_all(norm, '{DIGITS}'), '|') AS digits FROM t"
     chars = f"WITH {_TITLES}, c AS (SELECT unnest(string_split(norm, '')) AS token FROM t), n AS (SELECT token, count(*) AS n FROM c WHERE token <> '' GROUP BY token)"
