@@ -31,9 +31,9 @@ def per_query(judgements: DataFrame, ks: list[int], ap_at: int, corpus_size: int
     grouped = run.groupBy("query_id", "label", "positives").agg(*found, ap.alias("_ap"))
     if_none = F.raise_error(F.concat(F.lit("query without a positive: "), F.col("query_id").cast("string")))
     checked = F.when(F.col("positives") > 0, F.col("positives")).otherwise(if_none.cast("long"))
-    out: list[Column] = ["query_id", "label", checked.alias("positives"), (F.col("_ap") / F.least("positives", F.lit(ap_at))).alias(f"ap_{ap_at}")]
+    out: list[Column] = ["query_id", "label", checked.alias("positives"), (F.col("_ap") / F.least(checked, F.lit(ap_at))).alias(f"ap_{ap_at}")]
     for k in ks:
-        recall, precision = F.col(f"found_{k}") / F.col("positives"), F.col(f"found_{k}") / min(k, corpus_size - 1)
+        recall, precision = F.col(f"found_{k}") / checked, F.col(f"found_{k}") / min(k, corpus_size - 1)
         out += [
             (F.col(f"found_{k}") > 0).cast("double").alias(f"hit_rate_{k}"), recall.alias(f"recall_{k}"),
             precision.alias(f"precision_{k}"), f1(precision, recall).alias(f"f1_{k}"),
