@@ -93,7 +93,7 @@ def window_reader(phrase: list[str], width: int, keep: np.ndarray | None, slots:
             }
             if slots:
                 free = np.array([bool(k) for k in kinds])[codes]
-                out["slots"] = [[flat[j] for j in range(p, p + width) if free[j]] for p in places]
+                out["slots"] = pd.Series([[flat[j] for j in range(p, p + width) if free[j]] for p in places], dtype=object)
             yield pd.DataFrame(out)
 
     return run
