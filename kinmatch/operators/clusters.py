@@ -17,25 +17,24 @@ from kinmatch.runtime import Scratch
 COMPONENT_EDGES = 200_000
 
 
-def merge_strongest(edges: pd.DataFrame, *, most: int, coverage: float) -> tuple[dict[str, list[str]], list[int], int, int]:
-    """Greedy merging of one component's edges, strongest first.
+def merge_strongest(edges: list[tuple], *, most: int, coverage: float) -> tuple[dict[str, list[str]], list[tuple], int, int]:
+    """Greedy merging of one component's edges ``(left, right, probability, cosine, conflict)``, strongest first.
 
     Two clusters become one unless that passes the size limit or too small a
     share of either side's members has an edge to the other side.  Returns
-    members by cluster, the accepted rows and both counts of refusals.
+    members by cluster, the accepted edges and both counts of refusals.
     """
     home: dict[str, str] = {}
     members: dict[str, set[str]] = {}
     near: dict[str, set[str]] = {}
-    for a, b in zip(edges["left_posting_id"], edges["right_posting_id"], strict=True):
+    for a, b, *_ in edges:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
     for v in near:
         home[v], members[v] = v, {v}
-    order = edges.sort_values(["pair_probability", "cosine_similarity", "left_posting_id", "right_posting_id"], ascending=[False, False, True, True])
     taken, too_large, thin = [], 0, 0
-    for row, a, b in zip(order.index, order["left_posting_id"], order["right_posting_id"], strict=True):
-        x, y = home[a], home[b]
+    for e in sorted(edges, key=lambda e: (-e[2], -e[3], e[0], e[1])):
+        x, y = home[e[0]], home[e[1]]
         if x == y:
             continue
         one, two = members[x], members[y]
@@ -49,31 +48,36 @@ def merge_strongest(edges: pd.DataFrame, *, most: int, coverage: float) -> tuple
             members[x] |= members.pop(y)
             for v in members[x]:
                 home[v] = x
-            taken.append(row)
+            taken.append(e)
     return {k: sorted(v) for k, v in members.items()}, taken, too_large, thin
 
 
 _OUT = "setting int, posting_id string, first_posting_id string, cluster_size int, cluster_confidence double, manual_review boolean, merges int, size_rejections int, consistency_rejections int"
-
-
-def _component(d: pd.DataFrame) -> pd.DataFrame:
-    p = d.iloc[0]
-    members, taken, large, thin = merge_strongest(d, most=int(p["most"]), coverage=float(p["coverage"]))
-    accepted = d.loc[taken]
-    home = {v: k for k, vs in members.items() for v in vs}
-    edges_of: dict[str, list] = {}
-    for a, prob, conflict in zip(accepted["left_posting_id"], accepted["pair_probability"], accepted["variant_conflict"], strict=True):
-        edges_of.setdefault(home[a], []).append((prob, conflict))
-    rows, first = [], True
-    for k, vs in members.items():
-        es = edges_of.get(k, [])
-        confidence = min((q for q, _ in es), default=0.0)
-        shaky = any(c and q < p["threshold"] + 2 * p["margin"] for q, c in es)
-        review = len(vs) > 1 and (confidence < p["threshold"] + p["margin"] or shaky)
-        for v in vs:
-            counts = (len(taken), large, thin) if first else (0, 0, 0)
-            rows.append((int(p["setting"]), v, vs[0], len(vs), confidence, bool(review), *counts))
-            first = False
+_IN = ["root", "setting", "left_posting_id", "right_posting_id", "pair_probability", "cosine_similarity", "variant_conflict", "threshold", "coverage", "most", "margin"]
+
+
+def _components(d: pd.DataFrame) -> pd.DataFrame:
+    """All components of a bucket; the bucket only makes tasks large enough."""
+    by: dict[str, list[tuple]] = {}
+    for row in zip(*[d[c] for c in _IN], strict=True):
+        by.setdefault(row[0], []).append(row)
+    rows = []
+    for found in by.values():
+        _, setting, *_, threshold, coverage, most, margin = found[0]
+        members, taken, large, thin = merge_strongest([r[2:7] for r in found], most=int(most), coverage=float(coverage))
+        home = {v: k for k, vs in members.items() for v in vs}
+        inner: dict[str, list] = {}
+        for a, _, p, _, conflict in taken:
+            inner.setdefault(home[a], []).append((p, conflict))
+        counts = (len(taken), large, thin)
+        for k, vs in members.items():
+            es = inner.get(k, [])
+            confidence = min((p for p, _ in es), default=0.0)
+            shaky = any(c and p < threshold + 2 * margin for p, c in es)
+            review = len(vs) > 1 and (confidence < threshold + margin or shaky)
+            for v in vs:
+                rows.append((int(setting), v, vs[0], len(vs), confidence, bool(review), *counts))
+                counts = (0, 0, 0)
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
 
 
@@ -112,7 +116,8 @@ def conservative_clusters(pairs: DataFrame, settings: list[dict]) -> DataFrame:
         if tagged.where(F.col("component_edges") > COMPONENT_EDGES).limit(1).count() == 0:
             break
         rest = scratch.write(over)
-    found = done.groupBy("root").applyInPandas(_component, _OUT)
+    buckets = max(spark.sparkContext.defaultParallelism, eligible.count() // COMPONENT_EDGES)
+    found = done.withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(buckets))).select("bucket", *_IN).groupBy("bucket").applyInPandas(_components, _OUT)
     return found.join(F.broadcast(spark.createDataFrame([(i, s["name"] if "name" in s else f"s{i}") for i, s in enumerate(settings)], "setting int, name string")), "setting")
 
 

@@ -7,19 +7,20 @@ and each task keeps only its best ``k`` per query before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.functions.hashes import hamming
 from kinmatch.functions.numbers import unit_vector
 from kinmatch.functions.titles import word_ngrams
 
 #: Bytes of one block of queries that workers may hold.
 BLOCK_BYTES = 64 << 20
+#: Rows of an Arrow batch, the default of ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+ARROW_ROWS = 10_000
 
 
 def best_first(by: list[str] | None = None) -> Window:
@@ -36,68 +37,79 @@ def vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), unit_vector(vector).alias("v")).where("id is not null and v is not null")
 
 
-def _block_search(ids: np.ndarray, q: np.ndarray, k: int):
+def _keep_best(best: dict, i: int, s: np.ndarray, c: np.ndarray, k: int) -> None:
+    """Join new scores of query ``i`` to those kept so far; ties with the last place stay for the tie rule."""
+    if i in best:
+        s, c = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], c])
+    if len(s) > k:
+        keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+        s, c = s[keep], c[keep]
+        order = np.lexsort((c, -s))[:k]
+        s, c = s[order], c[order]
+    best[i] = (s, c)
+
+
+def _block_search(ids: np.ndarray, score: Callable[[pd.DataFrame], np.ndarray], k: int):
+    """Best ``k`` per query over the batches of a task; ``score`` gives queries x rows, -inf for no candidate."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for d in batches:
             if d.empty:
                 continue
             cid = d["id"].to_numpy()
-            scores = q @ np.stack(d["v"].to_numpy()).T
+            scores = score(d)
             for i in range(len(ids)):
-                s, c = scores[i], cid
-                keep = c != ids[i]
-                s, c = s[keep], c[keep]
-                if i in best:
-                    s, c = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], c])
-                if len(s) > k:
-                    # everything that ties with the k-th score stays, so the tie rule can decide
-                    s_k = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = s >= s_k
-                    s, c = s[keep], c[keep]
-                    order = np.lexsort((c, -s))[:k]
-                    s, c = s[order], c[order]
-                best[i] = (s, c)
+                keep = (cid != ids[i]) & (scores[i] > -np.inf)
+                _keep_best(best, i, scores[i][keep], cid[keep], k)
         for i, (s, c) in best.items():
             yield pd.DataFrame({"query_id": ids[i], "candidate_id": c, "score": s})
 
     return run
 
 
-def exact_cosine(queries: DataFrame, corpus: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Exact best ``k`` of ``corpus`` for each row of ``queries`` (both ``id, v`` at unit length), never the row itself.
+def in_blocks(queries: DataFrame, corpus: DataFrame, k: int, row_bytes: int, block_bytes: int, scorer: Callable[[pd.DataFrame], Callable]) -> DataFrame:
+    """Exact search of a stated query set: blocks of bounded size, each passing over the corpus once.
 
-    Queries are held in blocks of at most ``block_bytes``; each block passes
-    over the corpus once.
+    The corpus is spread over all cores, since the work per row is large.
     """
     spark = corpus.sparkSession
     kind = corpus.schema["id"].dataType.simpleString()
     schema = f"query_id {kind}, candidate_id {kind}, score double"
-    first = queries.select(F.size("v").alias("n")).first()
-    if first is None:
-        return spark.createDataFrame([], schema + ", rank int")
-    per_block = max(1, block_bytes // (8 * max(1, first["n"])))
     n = queries.count()
-    blocks = -(-n // per_block)
+    blocks = -(-n // max(1, block_bytes // max(1, row_bytes)))
+    spread = corpus.repartition(max(spark.sparkContext.defaultParallelism, corpus.rdd.getNumPartitions()))
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        held = part.toPandas()  # one block of bounded size
+        held = part.orderBy("id").toPandas()  # one block of bounded size
         if held.empty:
             continue
-        found = corpus.mapInPandas(_block_search(held["id"].to_numpy(), np.stack(held["v"].to_numpy()), k), schema)
+        found = spread.mapInPandas(_block_search(held["id"].to_numpy(), scorer(held), k), schema)
         out = found if out is None else out.unionByName(found)
-    return top_k(out, k)
+    return top_k(out if out is not None else spark.createDataFrame([], schema), k)
+
+
+def exact_cosine(queries: DataFrame, corpus: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Exact best ``k`` of ``corpus`` for each row of ``queries`` (both ``id, v`` at unit length), never the row itself."""
+    first = queries.select(F.size("v").alias("n")).first()
+
+    def scorer(held: pd.DataFrame) -> Callable:
+        q = np.stack(held["v"].to_numpy())
+        return lambda d: q @ np.stack(d["v"].to_numpy()).T
+
+    return in_blocks(queries, corpus, k, 8 * first["n"] if first else 8, block_bytes, scorer)
+
+
+def phash_ranking(queries: DataFrame, corpus: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Best ``k`` by ``1 - distance / 64`` for ``id, bits``."""
 
+    def scorer(held: pd.DataFrame) -> Callable:
+        q = held["bits"].to_numpy()
+        return lambda d: 1 - np.bitwise_count((q[:, None] ^ d["bits"].to_numpy()[None, :]).view(np.uint64)) / 64
 
-def phash_ranking(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` by ``1 - distance / 64`` for ``id, bits``; a query set of checked size is held by every task."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("bits").alias("qb"))
-    q = F.broadcast(q) if queries.count() * 16 <= BLOCK_BYTES else q
-    c = corpus.select(F.col("id").alias("candidate_id"), F.col("bits").alias("cb"))
-    # joined on a condition, in blocks of the stated query set, not over all rows
-    met = c.join(q, F.col("query_id") != F.col("candidate_id"))
-    return top_k(met.select("query_id", "candidate_id", (1 - hamming("qb", "cb") / 64).alias("score")), k)
+    # a batch makes one score for each of its rows and queries
+    return in_blocks(queries, corpus, k, 8 * ARROW_ROWS, 8 * block_bytes, scorer)
 
 
 def fit_vocabulary(titles: DataFrame, low: int, high: int, most: int) -> DataFrame:
@@ -122,17 +134,40 @@ def tfidf_vectors(titles: DataFrame, vocabulary: DataFrame, low: int, high: int)
     return raw.join(lengths, "id").select("id", "feature_id", (F.col("w") / F.col("length")).alias("weight"))
 
 
-def tfidf_ranking(queries: DataFrame, all_: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` by sparse dot product over an inverted index; only pairs that share a gram are met.
+def tfidf_ranking(queries: DataFrame, all_: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Best ``k`` by sparse dot product over an inverted index; only pairs that share a gram are candidates.
 
-    Scores are rounded to nine places, so that the order of summing cannot
-    decide between equal ones.
+    ``queries, all_``: ``id, feature_id, weight``.  A task inverts its batch of
+    titles and walks the postings of each query's features.  Scores are rounded
+    to nine places, so that the order of summing cannot decide between equal ones.
     """
-    q = queries.select(F.col("id").alias("query_id"), "feature_id", F.col("weight").alias("qw"))
-    c = all_.select(F.col("id").alias("candidate_id"), "feature_id", F.col("weight").alias("cw"))
-    met = q.join(c, "feature_id").where("query_id <> candidate_id")
-    scores = met.groupBy("query_id", "candidate_id").agg(F.round(F.sum(F.col("qw") * F.col("cw")), 9).alias("score"))
-    return top_k(scores, k)
+    one = F.array_sort(F.collect_list(F.struct("feature_id", "weight")))  # as long as a title has n-grams
+    listed = lambda df: df.groupBy("id").agg(one.alias("x")).select("id", F.col("x.feature_id").alias("f"), F.col("x.weight").alias("w"))
+
+    def scorer(held: pd.DataFrame) -> Callable:
+        qf, qw = [np.asarray(x) for x in held["f"]], [np.asarray(x) for x in held["w"]]
+
+        def score(d: pd.DataFrame) -> np.ndarray:
+            sizes = d["f"].map(len).to_numpy()
+            feature, weight = np.concatenate(d["f"].to_numpy()), np.concatenate(d["w"].to_numpy())
+            row = np.repeat(np.arange(len(d)), sizes)
+            order = np.argsort(feature, kind="stable")
+            feature, weight, row = feature[order], weight[order], row[order]
+            out = np.full((len(qf), len(d)), -np.inf)
+            for i, (f, w) in enumerate(zip(qf, qw, strict=True)):
+                a, b = np.searchsorted(feature, f, "left"), np.searchsorted(feature, f, "right")
+                n = b - a
+                if not n.sum():
+                    continue
+                at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                s = np.bincount(row[at], weights=weight[at] * np.repeat(w, n), minlength=len(d))
+                met = np.bincount(row[at], minlength=len(d)) > 0
+                out[i, met] = np.round(s[met], 9)
+            return out
+
+        return score
+
+    return in_blocks(listed(queries), listed(all_), k, 8 * ARROW_ROWS, 8 * block_bytes, scorer)
 
 
 def padded(ranking: DataFrame, queries: DataFrame, ids: DataFrame, k: int) -> DataFrame:

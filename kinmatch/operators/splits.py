@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from kinmatch.functions.hashes import stable_order
 from kinmatch.functions.numbers import group_size_band
 from kinmatch.runtime import Scratch
 
+#: Edges of a whole graph that one task may take.
+FINISH_EDGES = 300_000
 #: Label groups that are listed at once to make a component's identifier.
 LISTED_LABELS = 100_000
 #: Steps of the sequential assignment; with more components those of one weight and band go in chunks.
@@ -16,11 +19,32 @@ FOLD_STEPS = 100_000
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 
 
-def star_components(edges: DataFrame) -> DataFrame:
+def _joined(t: pa.Table) -> pa.Table:
+    """Smallest name of each node's component, by union-find with halved paths."""
+    a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
+    names = sorted({*a, *b})
+    number = {v: i for i, v in enumerate(names)}
+    up = list(range(len(names)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for x, y in zip(a, b, strict=True):
+        i, j = top(number[x]), top(number[y])
+        if i != j:
+            up[max(i, j)] = min(i, j)
+    return pa.table({"node": pa.array(names, pa.string()), "root": pa.array([names[top(i)] for i in range(len(names))], pa.string())})
+
+
+def star_components(edges: DataFrame, *, finish_edges: int | None = None) -> DataFrame:
     """``node, root`` for edges ``src, dst``, by alternating large and small stars.
 
     Each round hangs larger neighbours, then smaller ones, on the smallest
-    neighbour until every node points at its component's smallest node.
+    neighbour until every node points at its component's smallest node.  Once
+    no more than ``FINISH_EDGES`` edges are there, one task finishes them.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "stars")
@@ -34,6 +58,8 @@ def star_components(edges: DataFrame) -> DataFrame:
 
     before, now = None, digest(e)
     while before != now:
+        if now[0] <= (FINISH_EDGES if finish_edges is None else finish_edges):
+            return scratch.write(e.withColumn("whole", F.lit(0)).groupBy("whole").applyInArrow(_joined, "node string, root string"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
