@@ -33,6 +33,8 @@ END_SHARE, SUPPORT = 0.5, 3
 CLOSED_SHARE = 0.1
 #: Names are not shorter than all but this share of the names that end nothing.
 NAME_QUANTILE = 0.002
+#: Longer words are names like any of this length.
+LONGEST = 40
 ORDER = 5
 
 _TOKEN = re.compile(r"[A-Z]{2}-\d+|\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|&[a-z]*;?|</?[a-z]*>?|[#:]|[.!?…]+|\n")
@@ -133,7 +135,7 @@ def _count_runs(common: list[str]):
                 for m in re.finditer(r"[^\W\d_]+(?= [^\W\d_])", text):
                     w = m[0]
                     if w[0].isupper() and w[1:].islower() and w.lower() not in words:
-                        names[len(w)] += 1
+                        names[min(len(w), LONGEST)] += 1
             if len(total) > 200_000:
                 yield out()
         if total:
