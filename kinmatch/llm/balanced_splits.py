@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from kinmatch.llm.grid_components import grid_components
 from kinmatch.runtime import Scratch
 
-BINS = 100
+BINS = 200
 BLOCK_UNITS = 20_000
 FAN_IN = 64
 TARGETS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
@@ -121,12 +121,14 @@ def share_out(loads: list[int], targets=TARGETS) -> list[str]:
 def balance_units(units: DataFrame, *, bins: int = BINS, block_units: int = BLOCK_UNITS, targets=TARGETS) -> DataFrame:
     """``unit, bin, split`` for ``unit string, weight long``, whole units only.
 
-    An empty input gives no rows.  The result depends on the units and their
+    An empty input gives no rows; null units are left out and null weights are 0.
+    Each unit should come once.  The result depends on the units and their
     weights only, not on their order or partitioning.
     """
     spark = units.sparkSession
     scratch = Scratch(spark, "splits")
-    units = scratch.write(units.select("unit", F.col("weight").cast("long").alias("weight")).where("unit is not null"))
+    weight = F.coalesce(F.col("weight").cast("long"), F.lit(0))
+    units = scratch.write(units.select("unit", weight.alias("weight")).where("unit is not null"))
     n = units.count()
     if n == 0:
         return spark.createDataFrame([], "unit string, bin int, split string")

@@ -26,6 +26,8 @@ PASSAGE, REWRITTEN = 12, 30
 PHRASE_LEAST, PHRASE_SHARE = 3, 0.005
 #: Windows of the evaluation set that workers may hold as a filter (8 bytes each); beyond it all windows are joined.
 FILTER_WINDOWS = 2_000_000
+#: Characters of the texts that a task takes apart at once.
+PORTION = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _STEP = 0x9E3779B97F4A7C15
@@ -61,6 +63,12 @@ def _hashed(words: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
 
 
+def _portions(d: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in parts of bounded length, but for single texts that are longer."""
+    upto = d["text"].str.len().cumsum() // PORTION
+    yield from (part for _, part in d.groupby(upto, sort=False))
+
+
 def window_reader(phrase: list[str], width: int, keep: np.ndarray | None, slots: bool) -> Callable:
     """A function over batches ``id, text`` that yields the template windows of each text.
 
@@ -69,7 +77,7 @@ def window_reader(phrase: list[str], width: int, keep: np.ndarray | None, slots:
     known = frozenset(phrase)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
+        for d in (part for batch in batches for part in _portions(batch)):
             lists = [words_of(t) for t in d["text"]]
             sizes = np.array([len(x) for x in lists])
             flat = [w for x in lists for w in x]
@@ -147,7 +155,9 @@ def rewritten_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     """``doc_id, item_id, slots, changed``: the document holds the item with other parameters.
 
     30 or more consecutive words have the item's template, and the words in
-    the slots map one to one onto the item's, some of them onto others.
+    the slots map one to one onto the item's, some of them onto others.  Of
+    several such places the one with the fewest changes counts.  Null ids and
+    texts, shorter texts and items match nothing.
     """
     met = template_matches(docs, items, doc_id=doc_id, item_id=item_id, text=text, width=REWRITTEN, slots=True)
     pairs = F.arrays_zip("doc_slots", "item_slots")

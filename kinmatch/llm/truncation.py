@@ -36,6 +36,8 @@ NAME_QUANTILE = 0.002
 #: Longer words are names like any of this length.
 LONGEST = 40
 ORDER = 5
+#: Runs of words that a task counts before it hands the counts on.
+HELD_RUNS = 200_000
 
 _TOKEN = re.compile(r"[A-Z]{2}-\d+|\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|&[a-z]*;?|</?[a-z]*>?|[#:]|[.!?…]+|\n")
 _STOP = re.compile(r"[.!?…]+")
@@ -136,8 +138,8 @@ def _count_runs(common: list[str]):
                     w = m[0]
                     if w[0].isupper() and w[1:].islower() and w.lower() not in words:
                         names[min(len(w), LONGEST)] += 1
-            if len(total) > 200_000:
-                yield out()
+                if len(total) > HELD_RUNS:
+                    yield out()
         if total:
             yield out()
 
@@ -223,8 +225,9 @@ def truncated_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
 
     ``spike``: the text has a length at which its source cuts.  ``end_share``:
     how often the last words end a sentence elsewhere (null: never seen).
-    Null and blank texts have lost nothing; texts of a null source form a
-    source of their own; whole texts are read whatever their length.
+    Null and blank texts have lost nothing; rows with a null id are left out;
+    texts of a null source form a source of their own; repeated rows are
+    judged alike; whole texts are read whatever their length.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "ends")
