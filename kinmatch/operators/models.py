@@ -82,7 +82,8 @@ class TextEncoder:
                     v = self.encode(np.stack(d["ids"].to_numpy()).astype(int))
                     yield pd.DataFrame({"id": d["id"], "v": list(v.astype(float))})
 
-        return df.select("id", "ids").mapInPandas(run, f"id {kind}, v array<double>")
+        spread = df.select("id", "ids").repartition(df.sparkSession.sparkContext.defaultParallelism)  # the work per row is large
+        return spread.mapInPandas(run, f"id {kind}, v array<double>")
 
 
 def pair_features(left: Column | str, right: Column | str) -> Column:
