@@ -6,8 +6,8 @@ _NEITHER = r"[^\p{L}\p{Nd}]+"
 
 _RECORDS = rf"""
   SELECT row_number, posting_id, title, image_phash,
-         list_aggregate(list_sort(list_filter(regexp_split_to_array(lower(upper(title)), '{_NEITHER}'), lambda w: w <> '')), 'string_agg', ' ') AS words,
-         regexp_replace(lower(upper(image_phash)), '{_NEITHER}', '', 'g') AS bare
+         list_aggregate(list_sort(list_filter(regexp_split_to_array(lower(title), '{_NEITHER}'), lambda w: w <> '')), 'string_agg', ' ') AS words,
+         regexp_replace(lower(image_phash), '{_NEITHER}', '', 'g') AS bare
   FROM listing WHERE title IS NOT NULL AND image_phash IS NOT NULL
 """
 

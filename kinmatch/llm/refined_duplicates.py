@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.runtime import Scratch
+
 NEITHER = r"[^\p{L}\p{Nd}]+"
 
 
 def one_case(c: Column) -> Column:
-    """Text without letter case; upper first, since one letter may fold to several."""
-    return F.lower(F.upper(c))
+    """Text without letter case."""
+    return F.lower(c)
 
 
 def cheap_invariant(title: Column, code: Column) -> Column:
@@ -39,16 +41,18 @@ def refine_duplicates(df: DataFrame, id_col: str, title: str, code: str) -> Data
     ``first_id`` is the smallest id of the record's rows.  A row in which a
     field is null is no record and is left out; texts of signs only are the
     empty record; every row counts, redelivered ones too.  Other columns are
-    not read, so their names do not matter.
+    not read, so their names do not matter.  The classes and the rows of those
+    with several members are written once, so each invariant is made once.
     """
+    scratch = Scratch(df.sparkSession, "records")
     rows = df.select(F.col(id_col).alias("row_id"), F.col(title).alias("t"), F.col(code).alias("h")).where(
         "row_id is not null and t is not null and h is not null"
     )
     first = rows.select("*", cheap_invariant(F.col("t"), F.col("h")).alias("c"))
-    classes = first.groupBy("c").agg(F.count("*").alias("n"), F.min("row_id").alias("only"))
+    classes = scratch.write(first.groupBy("c").agg(F.count("*").alias("n"), F.min("row_id").alias("only")))
     alone = classes.where("n = 1").select(F.col("only").alias("row_id"), F.col("only").alias("first_id"), F.lit(1).cast("long").alias("copies"))
-    joint = first.join(classes.where("n > 1").select("c"), "c", "left_semi").select(
-        "row_id", exact_key(F.col("t"), F.col("h")).alias("key")
+    joint = scratch.write(
+        first.join(classes.where("n > 1").select("c"), "c", "left_semi").select("row_id", exact_key(F.col("t"), F.col("h")).alias("key"))
     )
     records = joint.groupBy("key").agg(F.min("row_id").alias("first_id"), F.count("*").alias("copies"))
     return alone.unionByName(joint.join(records, "key").select("row_id", "first_id", "copies"))
