@@ -25,14 +25,14 @@ def cheap_invariant(title: Column, code: Column) -> Column:
     """Hash of stripped lengths and letter histogram; equal records always agree on it."""
     t = F.regexp_replace(one_case(title), NEITHER, "")
     h = F.regexp_replace(one_case(code), NEITHER, "")
-    return F.xxhash64(F.length(t), F.array_join(F.array_sort(F.split(t, "")), ""), F.length(h), h)
+    return F.xxhash64(F.length(t), F.array_join(F.sort_array(F.split(t, "")), ""), F.length(h), h)
 
 
 def exact_key(title: Column, code: Column) -> Column:
     """The record itself: its words in one order and its bare code."""
     words = F.filter(F.split(one_case(title), NEITHER), lambda w: w != "")
     bare = F.regexp_replace(one_case(code), NEITHER, "")
-    return F.concat_ws("\n", F.array_join(F.array_sort(words), " "), bare)
+    return F.concat_ws("\n", F.array_join(F.sort_array(words), " "), bare)
 
 
 def refine_duplicates(df: DataFrame, id_col: str, title: str, code: str) -> DataFrame:
