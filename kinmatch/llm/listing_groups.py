@@ -84,18 +84,31 @@ def _title_fields(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([fields(t) for t in titles], columns=["kind", "amount", "variant", "pieces", "code", "name"])
 
 
+def letter_bits(name: str) -> int:
+    """The letters of a name as bits; several letters may share one."""
+    bits = 0
+    for c in set(name) - {" "}:
+        bits |= 1 << (ord(c) & 31)
+    return bits
+
+
 def _compare(window: int):
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("place")
-        group = pd.factorize(d["grp"])[0]
-        code, name, sid = d["code"].to_numpy(), d["name"].to_numpy(), d["sid"].to_numpy()
+        group, code = pd.factorize(d["grp"])[0], pd.factorize(d["code"].replace("", None))[0]
+        names, uniques = pd.factorize(d["name"])
+        bits = np.array([letter_bits(n) for n in uniques], dtype=np.uint32)[names]
+        name, sid = d["name"].to_numpy(), d["sid"].to_numpy()
         left, right = [], []
         for k in range(1, window):
-            for i in np.flatnonzero(group[:-k] == group[k:]):
-                j = i + k
-                if sid[i] != sid[j] and not (code[i] and code[j] and code[i] != code[j]) and same_name(*sorted((name[i], name[j]))):
-                    left.append(min(sid[i], sid[j]))
-                    right.append(max(sid[i], sid[j]))
+            near = (group[:-k] == group[k:]) & (sid[:-k] != sid[k:])
+            near &= (code[:-k] == code[k:]) | (code[:-k] < 0) | (code[k:] < 0)
+            # an edit brings in one letter at most, and one name is a run of the other but for the edits
+            strange = np.minimum(np.bitwise_count(bits[:-k] & ~bits[k:]), np.bitwise_count(bits[k:] & ~bits[:-k]))
+            for i in np.flatnonzero(near & (strange <= 2)):
+                if same_name(*sorted((name[i], name[i + k]))):
+                    left.append(min(sid[i], sid[i + k]))
+                    right.append(max(sid[i], sid[i + k]))
         return pd.DataFrame({"a": left, "b": right}, dtype="object").astype({"a": "int64", "b": "int64"}).drop_duplicates()
 
     return run
