@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.functions import titles as T
-from kinmatch.functions.hashes import phash_bits
-from kinmatch.functions.numbers import dot, group_size_band, normalized_length_band, sigmoid, title_length_band
+from kinmatch.functions.hashes import phash_bits, stable_order
+from kinmatch.functions.numbers import dot, group_size_band, normalized_length_band, sigmoid, strict_size_band, title_length_band
 from kinmatch.operators import ann, audit, clusters, matcher, metrics, mining, models, pairs, rankers, sampling, splits
 from kinmatch.plans import inputs, oracles
 from kinmatch.runtime import Scratch, ship, table
+from kinmatch.sources import files
 
 K = 20
 GRAMS, FEATURES = (3, 4), 20_000
@@ -563,6 +564,89 @@ def collision_samples(spark, d):
     return sampling.collision_samples(table(spark, d, "train").withColumn("label", F.col("label_group")), "image", 20, 7)
 
 
+def mined_probabilities(spark, d):
+    p = _mined(spark, d)[2]
+    return rounded(p.agg(
+        F.min("pair_probability").alias("minimum"), F.percentile("pair_probability", 0.5).alias("median"),
+        F.percentile("pair_probability", 0.95).alias("p95"), F.max("pair_probability").alias("maximum"),
+    ))
+
+
+# ---- further joins, sets and orders
+
+
+def rejected_metadata(spark, d):
+    """Training rows by the first metadata rule they break."""
+    bad = files.screened(table(spark, d, "train").select(*files.METADATA)).where("reject_reason is not null")
+    return bad.groupBy("reject_reason").agg(F.count("*").alias("n_rows"))
+
+
+def image_joins(spark, d):
+    rows, images = table(spark, d, "train"), table(spark, d, "image_record").select("image", F.col("width").isNotNull().alias("readable")).distinct()
+    named = rows.where("image is not null").select("image").distinct()
+    matched = rows.join(images, "image").agg(F.lit("matched_rows").alias("kind"), F.count("*").alias("n"))
+    missing = named.join(images, "image", "left_anti").agg(F.lit("missing_images").alias("kind"), F.count("*").alias("n"))
+    unused = images.join(named, "image", "left_anti").agg(F.lit("unreferenced_images").alias("kind"), F.count("*").alias("n"))
+    return matched.unionByName(missing).unionByName(unused)
+
+
+def candidate_sets(spark, d):
+    """Candidates that both modality rankings hold, and those of one only."""
+    a, b = (_half(spark, d, n).select("query_id", "candidate_id") for n in ("image", "text"))
+    count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return count(a.intersect(b), "both").unionByName(count(a.exceptAll(b), "image_only")).unionByName(count(b.exceptAll(a), "text_only"))
+
+
+def strongest_edges(spark, d):
+    kept = pairs.gated_pairs(_pairs(spark, d), **GATES).where("gate = 'eligible'")
+    return rounded(kept.orderBy(*pairs.strongest_first()).limit(50).select("left_posting_id", "right_posting_id", "pair_probability", "cosine_similarity"))
+
+
+def digest_order(spark, d):
+    """The first twenty postings in an order made from digests."""
+    ids = table(spark, d, "listing").select("posting_id").distinct()
+    return ids.withColumn("digest", stable_order(7, "posting_id")).orderBy("digest").limit(20)
+
+
+def title_length_summary(spark, d):
+    t = inputs.titled(spark, d).select(F.length("norm").alias("n"))
+    q = audit.nearest_rank_quantiles(t, {"normalized_length": F.col("n")})
+    cut = t.agg(F.lit("over_64").alias("measure"), F.lit("share").alias("quantile"), F.avg((F.col("n") > 64).cast("double")).alias("value"))
+    return rounded(q.unionByName(cut))
+
+
+def run_summary(spark, d):
+    """Mean and population deviation over the runs of the weight grid."""
+    return rounded(_weights(spark, d).agg(F.count("*").alias("runs"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")))
+
+
+def group_size_recall(spark, d):
+    rows = table(spark, d, "listing")
+    sizes = rows.where("label_group is not null and title is not null").groupBy(F.col("label_group").alias("label")).agg(F.count("*").alias("n"))
+    q = _title_judged(spark, d).join(sizes, "label").groupBy(strict_size_band(F.col("n")).alias("band"))
+    return rounded(q.agg(F.count("*").alias("queries"), F.avg(f"recall_{K}").alias("recall")))
+
+
+def label_blind_test_rows(spark, d):
+    """Rows of the test split without their labels, by semi join with the manifest."""
+    s = Scratch(spark, "blind")
+    c = s.write(_components(spark, d))
+    rows = inputs.train_with_images(spark, d)
+    manifest = rows.join(c, "label_group").join(splits.assign_splits(c), "component_id").select("posting_id", "split").distinct()
+    return files.label_blind(files.one_split(rows, s.write(manifest), "test"))
+
+
+def near_phash_cross_split(spark, d):
+    """Near hashes whose label groups stand in different splits."""
+    s = Scratch(spark, "near")
+    c = s.write(_components(spark, d))
+    rows = inputs.train_with_images(spark, d).join(c, "label_group").join(splits.assign_splits(c), "component_id")
+    where = s.write(rows.select(F.lower(F.trim("image_phash")).alias("h"), "split").distinct())
+    near = near_phash_pairs(spark, d)
+    both = near.join(where.select(F.col("h").alias("left_phash"), F.col("split").alias("ls")), "left_phash").join(where.select(F.col("h").alias("right_phash"), F.col("split").alias("rs")), "right_phash")
+    return both.where("ls <> rs").select("left_phash", "right_phash", "distance").distinct()
+
+
 # ---- models and matching
 
 
@@ -629,7 +713,8 @@ _ALL = (
     character_vocabulary, unknown_rate, label_components, split_assignment, split_integrity, candidate_pairs, usable_pairs, edge_gates,
     reverse_rank, pair_policy, edge_metrics, candidate_classification, conservative_clusters, cluster_diagnostics, cluster_sweep,
     selected_policy, cluster_metrics, group_recovery, cluster_failures, hard_negatives, dedup_pairs, cap_variants, mining_counts,
-    negative_batch, product_batches, balanced_pairs, inspection_pairs, collision_samples, text_embeddings, contrastive_loss, pair_head,
+    mined_probabilities, rejected_metadata, image_joins, candidate_sets, strongest_edges, digest_order, title_length_summary, run_summary,
+    group_size_recall, label_blind_test_rows, near_phash_cross_split, negative_batch, product_batches, balanced_pairs, inspection_pairs, collision_samples, text_embeddings, contrastive_loss, pair_head,
     matcher_decisions, streamed_arrivals,
 )
 

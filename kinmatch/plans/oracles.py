@@ -241,7 +241,7 @@ def oracle_sql() -> dict[str, str]:
   o AS (SELECT i / 40.0::DOUBLE AS threshold, {_rates('tp', 'fp', _TOTAL)} FROM s) SELECT {_SIX} FROM o"""
     weights = (0.0, 0.25, 0.5, 0.75, 1.0)
     parts = ", ".join(f"{_fused(f'r{i}', w, 20)}, {_judged(f'j{i}', f'r{i}')}, {_per_query(f'p{i}', f'j{i}', [20], 20)}" for i, w in enumerate(weights))
-    union = " UNION ALL ".join(f"SELECT {w}::DOUBLE AS weight, avg(ap) AS score FROM p{i}" for i, w in enumerate(weights))
+    weight_runs = union = " UNION ALL ".join(f"SELECT {w}::DOUBLE AS weight, avg(ap) AS score FROM p{i}" for i, w in enumerate(weights))
     out["fusion_weight_selection"] = f"{_HALVES}, {parts}, w AS ({union}) SELECT weight, round(score, 6) AS score FROM (SELECT * FROM w ORDER BY w.score DESC, abs(weight - 0.5), weight LIMIT 1)"
     out["similarity_diagnostics"] = f"""{_J} SELECT CASE WHEN hit = 1 THEN 'positive' ELSE 'negative' END AS kind, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std,
          round(quantile_cont(score, 0.05), 6) AS p05, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.95), 6) AS p95 FROM j GROUP BY 1"""
@@ -370,6 +370,28 @@ def oracle_sql() -> dict[str, str]:
         "SELECT 'symmetric_duplicates_removed', (SELECT count(*) FROM hn) - (SELECT count(*) FROM dd)", "SELECT 'variant_quota_removed', (SELECT count(*) FROM dd) - (SELECT count(*) FROM cv)",
     ]
     out["mining_counts"] = f"WITH {_MINE} {' UNION ALL '.join(counters)}"
+    out["mined_probabilities"] = f"""WITH {_MINE} SELECT round(min(pair_probability), 6) AS minimum, round(quantile_cont(pair_probability, 0.5), 6) AS median,
+         round(quantile_cont(pair_probability, 0.95), 6) AS p95, round(max(pair_probability), 6) AS maximum FROM dd"""
+    empty = " OR ".join(f"{c} IS NULL OR trim({c}) = ''" for c in ("posting_id", "image", "image_phash", "title", "label_group"))
+    out["rejected_metadata"] = f"""
+  WITH r AS (SELECT CASE WHEN {empty} THEN 'missing_value' WHEN regexp_matches(trim(image), '[/\\\\]|^[A-Za-z]:') OR trim(image) IN ('.', '..') THEN 'unsafe_image_path'
+      WHEN NOT regexp_matches(trim(image_phash), '^[0-9a-fA-F]{{16}}$') THEN 'invalid_phash' END AS reject_reason FROM train)
+  SELECT reject_reason, count(*) AS n_rows FROM r WHERE reject_reason IS NOT NULL GROUP BY 1"""
+    out["image_joins"] = """
+  WITH i AS (SELECT DISTINCT image, width IS NOT NULL AS readable FROM image_record)
+  SELECT 'matched_rows' AS kind, count(*) AS n FROM train JOIN i USING (image)
+  UNION ALL SELECT 'missing_images', count(DISTINCT image) FROM train WHERE image IS NOT NULL AND image NOT IN (SELECT image FROM i)
+  UNION ALL SELECT 'unreferenced_images', count(*) FROM i WHERE image NOT IN (SELECT image FROM train WHERE image IS NOT NULL)"""
+    out["candidate_sets"] = f"""{both}, x AS (SELECT query_id, candidate_id FROM a), y AS (SELECT query_id, candidate_id FROM b)
+  SELECT 'both' AS kind, count(*) AS n FROM (SELECT * FROM x INTERSECT SELECT * FROM y)
+  UNION ALL SELECT 'image_only', count(*) FROM (SELECT * FROM x EXCEPT SELECT * FROM y) UNION ALL SELECT 'text_only', count(*) FROM (SELECT * FROM y EXCEPT SELECT * FROM x)"""
+    out["strongest_edges"] = f"""WITH {_PAIRS} SELECT left_posting_id, right_posting_id, round(pair_probability, 6) AS pair_probability, round(cosine_similarity, 6) AS cosine_similarity
+  FROM (SELECT * FROM up WHERE {_GATE} = 'eligible' ORDER BY up.pair_probability DESC, up.cosine_similarity DESC, left_posting_id, right_posting_id LIMIT 50)"""
+    out["digest_order"] = "SELECT posting_id, sha256('7:' || posting_id) AS digest FROM (SELECT DISTINCT posting_id FROM listing) ORDER BY digest LIMIT 20"
+    lengths = f"SELECT 'normalized_length' AS measure, length({plain('title')}) AS value FROM listing WHERE title IS NOT NULL"
+    out["title_length_summary"] = f"{_quantiles(lengths)} UNION ALL SELECT 'over_64', 'share', round(avg((value > 64)::INT), 6) FROM ({lengths})"
+    out["run_summary"] = f"{_HALVES}, {parts}, w AS ({weight_runs}) SELECT count(*) AS runs, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std FROM w"
+    out["group_size_recall"] = f"{title_queries} SELECT {strict} AS band, count(*) AS queries, round(avg(rc), 6) AS recall FROM pf GROUP BY 1"
     products = """
   WITH RECURSIVE o AS (SELECT posting_id AS id, min(label_group) AS label FROM train WHERE label_group IS NOT NULL GROUP BY posting_id),
   s AS (SELECT label, count(*) AS n FROM o GROUP BY label HAVING count(*) >= 2),
