@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.errors import ContractError, DataValidationError
+from kinmatch.errors import ContractError, DataValidationError, FixtureError
 from kinmatch.functions.hashes import PHASH
 
 METADATA = ("posting_id", "image", "image_phash", "title", "label_group")
@@ -185,3 +185,11 @@ def scan_evidence(spark: SparkSession, paths: list[str], keys: tuple[str, ...])
 def query_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Queries that arrive as JSON files in a folder (an extension: the batch matcher works on any DataFrame)."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).json(folder)
+
+
+def check_fixture(rows: DataFrame, records: int, sizes: dict[int, int]) -> None:
+    """A metadata fixture has to hold so many records and label groups of the stated sizes, or it is an error."""
+    groups = rows.groupBy("label_group").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+    found = {r["size"]: r["n"] for r in groups.limit(len(sizes) + 1).collect()}
+    if rows.count() != records or found != sizes:
+        raise FixtureError(f"expected {records} records in groups {sizes}, found groups {found}")

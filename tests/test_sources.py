@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinmatch import config
-from kinmatch.errors import ConfigurationError, ContractError, DataValidationError, OutputConflictError
+from kinmatch.errors import ConfigurationError, ContractError, DataValidationError, FixtureError, OutputConflictError
 from kinmatch.sources import files, sinks
 from tests.conftest import rows
 
@@ -113,3 +113,10 @@ def test_reports(spark):
     assert "| a | 0.5 |" in text and "<svg" in sinks.bar_svg("b", [("x", 1.0)]) and "polyline" in sinks.curve_svg("c", {"p": [(0, 0), (1, 1)]})
     with pytest.raises(ValueError):
         sinks.markdown_report("R", {"T": spark.range(60)})
+
+
+def test_fixture_sizes(spark):
+    df = spark.createDataFrame([(f"p{i}", f"g{i // 2}") for i in range(6)], "posting_id string, label_group string")
+    files.check_fixture(df, 6, {2: 3})
+    with pytest.raises(FixtureError):
+        files.check_fixture(df, 6, {3: 2})
