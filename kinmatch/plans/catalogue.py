@@ -224,7 +224,7 @@ def select_threshold(spark, d):
 
 
 def precision_at_recall(spark, d):
-    return rounded(metrics.precision_at_recall(_points(spark, d), 0.001))
+    return rounded(metrics.precision_at_recall(_points(spark, d), 0.0001))
 
 
 def threshold_curve(spark, d):

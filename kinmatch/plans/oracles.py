@@ -235,7 +235,7 @@ def oracle_sql() -> dict[str, str]:
   o AS (SELECT threshold, {_rates('tp', 'fp', _TOTAL)} FROM s) SELECT {_SIX} FROM o"""
     del at
     out["select_threshold"] = f"{_POINTS} SELECT {_SIX} FROM (SELECT * FROM points ORDER BY points.f1 DESC, points.precision DESC, points.threshold DESC LIMIT 1)"
-    out["precision_at_recall"] = f"{_POINTS} SELECT {_SIX} FROM (SELECT * FROM points WHERE recall >= 0.001 ORDER BY points.precision DESC, points.threshold DESC LIMIT 1)"
+    out["precision_at_recall"] = f"{_POINTS} SELECT {_SIX} FROM (SELECT * FROM points WHERE recall >= 0.0001 ORDER BY points.precision DESC, points.threshold DESC LIMIT 1)"
     out["threshold_curve"] = f"""{_J}, s AS (SELECT i, coalesce(sum(hit) FILTER (score >= i / 40.0::DOUBLE), 0)::BIGINT AS tp, coalesce(sum(1 - hit) FILTER (score >= i / 40.0::DOUBLE), 0)::BIGINT AS fp
       FROM j CROSS JOIN (SELECT unnest(range(0, 41)) AS i) GROUP BY i),
   o AS (SELECT i / 40.0::DOUBLE AS threshold, {_rates('tp', 'fp', _TOTAL)} FROM s) SELECT {_SIX} FROM o"""
