@@ -13,7 +13,7 @@ from kinmatch.operators.pairs import gated_pairs
 from kinmatch.operators.splits import star_components
 from kinmatch.runtime import Scratch
 
-#: Edges of one component that a task may take; larger components are thinned first, see ``conservative_clusters``.
+#: Edges of one component that a task merges at once; larger components are merged in rounds, see ``_in_rounds``.
 COMPONENT_EDGES = 200_000
 
 
@@ -81,15 +81,130 @@ def _components(d: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
 
 
+_BAND = "was string, now string, size int, lowest double, shaky boolean, setting int, merges int, size_rejections int, consistency_rejections int"
+_LIVE = ["part", "setting", "place", "due", "left_posting_id", "right_posting_id", "pair_probability", "variant_conflict", "x", "y", "nx", "ny", "threshold", "coverage", "most", "margin"]
+
+
+def _bands(d: pd.DataFrame) -> pd.DataFrame:
+    """Merges the due pairs of each part of a bucket in their order, from clusters ``x, y`` of sizes ``nx, ny`` on.
+
+    Pairs that are not due only say which postings are near.  A row for each cluster of a part says what it became.
+    """
+    by: dict[str, list[tuple]] = {}
+    for row in zip(*[d[c] for c in _LIVE], strict=True):
+        by.setdefault(row[0], []).append(row)
+    rows = []
+    for found in by.values():
+        setting, (threshold, coverage, most, margin) = found[0][1], found[0][-4:]
+        home, size, members, near = {}, {}, {}, {}
+        for _, _, _, _, a, b, _, _, x, y, nx, ny, *_ in found:
+            for v, k, n, w in ((a, x, nx, b), (b, y, ny, a)):
+                home[v], size[k] = k, int(n)
+                members.setdefault(k, set()).add(v)
+                near.setdefault(v, set()).add(w)
+        into: dict[str, list[str]] = {k: [k] for k in members}
+        lowest: dict[str, float] = {}
+        shaky: set[str] = set()
+        merges = large = thin = 0
+        for _, _, _, _, a, b, p, conflict, *_ in sorted((r for r in found if r[3]), key=lambda r: r[2]):
+            x, y = home[a], home[b]
+            if x == y:
+                continue
+            one, two = members[x], members[y]
+            if size[x] + size[y] > most:
+                large += 1
+            elif min(sum(not near[v].isdisjoint(two) for v in one) / size[x], sum(not near[v].isdisjoint(one) for v in two) / size[y]) < coverage:
+                thin += 1
+            else:
+                if len(one) < len(two):
+                    x, y = y, x
+                for v in members[y]:
+                    home[v] = x
+                members[x] |= members.pop(y)
+                into[x] += into.pop(y)
+                size[x] += size.pop(y)
+                lowest[x] = min(p, lowest.get(x, p), lowest.get(y, p))
+                if y in shaky or (conflict and p < threshold + 2 * margin):
+                    shaky.add(x)
+                merges += 1
+        counts = (merges, large, thin)
+        for k, olds in into.items():
+            for old in olds:
+                rows.append((old, k, size[k], lowest.get(k), k in shaky, int(setting), *counts))
+                counts = (0, 0, 0)
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in _BAND.split(", ")])
+    return out.astype({"lowest": "float64"})
+
+
+def _in_rounds(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Exact merge of components (``root``) that are too large for one task, in rounds on written tables.
+
+    A round decides the ``COMPONENT_EDGES`` strongest undecided pairs of each
+    component.  Whether two clusters merge depends on them alone, so the parts
+    that these pairs connect go to tasks of their own, with the other pairs
+    inside a part for the coverage.  Clusters only grow: two that together are
+    too large never merge, and their pairs are refused and left out at once.
+    """
+    spark = pairs.sparkSession
+    key = lambda c: F.concat_ws("|", F.format_string("%05d", "setting"), c)
+    live = scratch.write(
+        pairs.withColumns({"x": key("left_posting_id"), "y": key("right_posting_id"), "nx": F.lit(1), "ny": F.lit(1), "decided": F.lit(False), "refused": F.lit(False)})
+    )
+    end = lambda side, k: live.select("setting", "threshold", "margin", F.col(side).alias("posting_id"), F.col(k).alias("cluster"))
+    homes = scratch.write(end("left_posting_id", "x").unionByName(end("right_posting_id", "y")).distinct().withColumns({"lowest": F.lit(None).cast("double"), "shaky": F.lit(False)}))
+    strongest = Window.partitionBy("root", "decided").orderBy(F.desc("pair_probability"), F.desc("cosine_similarity"), "left_posting_id", "right_posting_id")
+    counts: dict[int, list[int]] = {}  # three numbers a setting
+
+    def count(df: DataFrame, *columns: Column) -> None:
+        for r in df.groupBy("setting").agg(*[F.sum(c) for c in columns]).collect():
+            counts[r[0]] = [n + m for n, m in zip(counts.get(r[0], [0, 0, 0]), r[1:], strict=True)]
+
+    undecided = live.count()
+    while undecided:
+        placed = live.withColumn("place", F.row_number().over(strongest)).withColumn("due", ~F.col("decided") & (F.col("place") <= COMPONENT_EDGES))
+        tagged = scratch.write(placed)
+        parts = star_components(tagged.where("due").select(F.col("x").alias("src"), F.col("y").alias("dst")))
+        inside = tagged.join(parts.select(F.col("node").alias("x"), F.col("root").alias("part")), "x").join(parts.select(F.col("node").alias("y"), F.col("root").alias("other")), "y").where("part = other")
+        buckets = max(spark.sparkContext.defaultParallelism, undecided // COMPONENT_EDGES)
+        bucketed = inside.select(F.pmod(F.xxhash64("part"), F.lit(buckets)).alias("bucket"), *_LIVE)
+        found = scratch.write(bucketed.groupBy("bucket").applyInPandas(_bands, _BAND))
+        count(found, F.col("merges"), F.col("size_rejections"), F.col("consistency_rejections"))
+        change = found.select(F.col("was").alias("cluster"), "now", F.col("lowest").alias("l"), F.col("shaky").alias("s"))
+        after = homes.join(change, "cluster", "left").select(
+            "setting", "threshold", "margin", "posting_id", F.coalesce("now", "cluster").alias("cluster"), F.least("lowest", "l").alias("lowest"), (F.col("shaky") | F.coalesce("s", F.lit(False))).alias("shaky")
+        )
+        end_now = lambda k: found.select(F.col("was").alias(k), F.col("now").alias(f"{k}_now"), F.col("size").alias(f"{k}_size"))
+        moved = tagged.join(end_now("x"), "x", "left").join(end_now("y"), "y", "left").withColumns(
+            {"x": F.coalesce("x_now", "x"), "y": F.coalesce("y_now", "y"), "nx": F.coalesce("x_size", "nx"), "ny": F.coalesce("y_size", "ny"), "decided": F.col("decided") | F.col("due")}
+        ).where("x <> y").withColumn("refused", F.col("nx") + F.col("ny") > F.col("most"))
+        moved = scratch.write(moved.select(live.columns))
+        count(moved.where("refused and not decided"), F.lit(0), F.lit(1), F.lit(0))
+        homes_now, kept = scratch.write(after), scratch.write(moved.where("not refused"))
+        for old in (live, homes, tagged, parts, found, moved):
+            scratch.drop(old)
+        live, homes = kept, homes_now
+        undecided = live.where("not decided").count()
+
+    ends = homes.groupBy("setting", "cluster", "threshold", "margin").agg(
+        F.min("posting_id").alias("first_posting_id"), F.count("*").cast("int").alias("cluster_size"), F.coalesce(F.min("lowest"), F.lit(0.0)).alias("cluster_confidence"), F.max("shaky").alias("shaky")
+    )
+    review = (F.col("cluster_size") > 1) & ((F.col("cluster_confidence") < F.col("threshold") + F.col("margin")) | F.col("shaky"))
+    ends = ends.select("cluster", "first_posting_id", "cluster_size", "cluster_confidence", review.alias("manual_review"))
+    totals = spark.createDataFrame([(k, *[int(n) for n in v]) for k, v in counts.items()], "setting int, merges int, size_rejections int, consistency_rejections int")
+    once = homes.groupBy("setting").agg(F.min("posting_id").alias("posting_id")).join(F.broadcast(totals), "setting")  # a setting's counts stand in one row
+    number = [F.coalesce(c, F.lit(0)).alias(c) for c in ("merges", "size_rejections", "consistency_rejections")]
+    return homes.select("setting", "posting_id", "cluster").join(ends, "cluster").join(F.broadcast(once), ["setting", "posting_id"], "left").select(
+        "setting", "posting_id", "first_posting_id", "cluster_size", "cluster_confidence", "manual_review", *number
+    )
+
+
 def conservative_clusters(pairs: DataFrame, settings: list[dict]) -> DataFrame:
     """Clusters of every posting that has a pair, for each setting.
 
     A setting has ``threshold, reciprocal, override, coverage, most, margin``;
     its place in the list is ``setting``.  No decision crosses a connected
     component of the eligible pairs, so components are merged in parallel and
-    exactly.  A component of more than ``COMPONENT_EDGES`` pairs is first cut
-    at its weakest pairs: its threshold rises until its parts fit, which the
-    result states as ``cut`` and which only ever refuses a merge.
+    exactly; those of more than ``COMPONENT_EDGES`` pairs in rounds.
     """
     spark = pairs.sparkSession
     scratch = Scratch(spark, "clusters")
@@ -102,22 +217,15 @@ def conservative_clusters(pairs: DataFrame, settings: list[dict]) -> DataFrame:
         parts = one if parts is None else parts.unionByName(one)
     eligible = scratch.write(parts)
     prefix = lambda c: F.concat_ws("|", F.format_string("%05d", "setting"), c)
-    lift = 0.0
-    done, rest = None, eligible
-    while True:
-        roots = star_components(rest.select(prefix("left_posting_id").alias("src"), prefix("right_posting_id").alias("dst")))
-        tagged = rest.withColumn("node", prefix("left_posting_id")).join(roots, "node").drop("node")
-        sizes = tagged.groupBy("root").agg(F.count("*").alias("component_edges"))
-        tagged = scratch.write(tagged.join(sizes, "root").withColumn("root", F.concat_ws("|", F.lit(f"{lift:.3f}"), "root")))
-        fits = tagged.where(F.col("component_edges") <= COMPONENT_EDGES)
-        done = fits if done is None else done.unionByName(fits)
-        lift += 0.05
-        over = tagged.where((F.col("component_edges") > COMPONENT_EDGES) & (F.col("pair_probability") >= F.col("threshold") + lift)).drop("root", "component_edges")
-        if tagged.where(F.col("component_edges") > COMPONENT_EDGES).limit(1).count() == 0:
-            break
-        rest = scratch.write(over)
+    roots = star_components(eligible.select(prefix("left_posting_id").alias("src"), prefix("right_posting_id").alias("dst")))
+    tagged = eligible.withColumn("node", prefix("left_posting_id")).join(roots, "node").drop("node")
+    sizes = tagged.groupBy("root").agg(F.count("*").alias("component_edges"))
+    tagged = scratch.write(tagged.join(sizes, "root"))
+    fits, over = tagged.where(F.col("component_edges") <= COMPONENT_EDGES), tagged.where(F.col("component_edges") > COMPONENT_EDGES).drop("component_edges")
     buckets = max(spark.sparkContext.defaultParallelism, eligible.count() // COMPONENT_EDGES)
-    found = done.withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(buckets))).select("bucket", *_IN).groupBy("bucket").applyInPandas(_components, _OUT)
+    found = fits.withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(buckets))).select("bucket", *_IN).groupBy("bucket").applyInPandas(_components, _OUT)
+    if not over.isEmpty():
+        found = found.unionByName(_in_rounds(over, scratch))
     return found.join(F.broadcast(spark.createDataFrame([(i, s["name"] if "name" in s else f"s{i}") for i, s in enumerate(settings)], "setting int, name string")), "setting")
 
 

@@ -171,6 +171,27 @@ def test_clusters_equal_a_direct_merge_on_random_graphs(spark):
         assert {x["posting_id"]: x["first_posting_id"] for x in got.collect()} == want
 
 
+def test_clusters_of_large_components_equal_a_direct_merge(spark):
+    r = random.Random(5)
+    one, level = {}, {(a, b): 0.9 for a in range(14) for b in range(a + 1, 14)}
+    for _ in range(150):
+        a, b = sorted(r.sample(range(45), 2))
+        one[(a, b)] = round(r.uniform(0.5, 1), 2)
+    limit = clusters.COMPONENT_EDGES
+    try:
+        clusters.COMPONENT_EDGES = 40
+        for data, coverage, most in ((one, 0.5, 64), (one, 0.3, 6), (level, 0.5, 5)):
+            edges = [edge(f"{a:02d}", f"{b:02d}", p, conflict=p >= 0.95 and a % 2 == 0) for (a, b), p in data.items()]
+            members, taken, large, thin = clusters.merge_strongest([(a, b, p, c, k) for a, b, c, p, _, _, k in edges], most=most, coverage=coverage)
+            low = {k: min((p for a, _, p, *_ in taken if a in vs), default=0.0) for k, vs in members.items()}
+            want = {v: (vs[0], len(vs), low[k], len(vs) > 1 and low[k] < 0.55) for k, vs in members.items() for v in vs}
+            got = clusters.conservative_clusters(spark.createDataFrame(edges, PAIR), [SETTING | {"coverage": coverage, "most": most}]).collect()
+            assert {x["posting_id"]: (x["first_posting_id"], x["cluster_size"], x["cluster_confidence"], x["manual_review"]) for x in got} == want and len(got) == len(want)
+            assert [sum(x[c] for x in got) for c in ("merges", "size_rejections", "consistency_rejections")] == [len(taken), large, thin]
+    finally:
+        clusters.COMPONENT_EDGES = limit
+
+
 def test_cluster_metrics_of_perfect_partition(spark):
     t = spark.createDataFrame([("e1", "g1", 3), ("e2", "g2", 1)], "entity string, label string, n long")
     m = clusters.cluster_metrics(t).first()
