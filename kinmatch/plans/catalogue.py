@@ -16,7 +16,7 @@ from kinmatch.runtime import Scratch, ship, table
 from kinmatch.sources import files
 
 K = 20
-GRAMS, FEATURES = (3, 4), 20_000
+GRAMS, FEATURES, CANDIDATES = (2, 5), 100_000, 100  # the reference's title model
 GATES = {"threshold": 0.5, "reciprocal": 10, "override": 0.8}
 SETTING = GATES | {"coverage": 0.5, "most": 64, "margin": 0.05, "name": "frozen"}
 SWEEP = [GATES | {"threshold": t, "coverage": c, "most": 64, "margin": 0.05, "name": f"t{t}_c{c}"} for t in (0.5, 0.7) for c in (0.5, 1.0)]
@@ -60,10 +60,10 @@ def char_ngrams(spark, d):
 
 
 def tfidf_vocabulary(spark, d):
-    return rounded(rankers.fit_vocabulary(inputs.titled(spark, d), 2, 5, 5_000))
+    return rounded(rankers.fit_vocabulary(inputs.titled(spark, d), *GRAMS, FEATURES))
 
 
-def _tfidf(spark, d, k=K):
+def _tfidf(spark, d, k=CANDIDATES):
     s = Scratch(spark, "tfidf")
     t = inputs.titled(spark, d)
     v = s.write(rankers.tfidf_vectors(t, s.write(rankers.fit_vocabulary(t, *GRAMS, FEATURES)), *GRAMS))

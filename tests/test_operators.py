@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.functions.hashes import phash_bits
 from kinmatch.operators import ann, audit, clusters, matcher, mining, models, pairs, rankers, sampling, splits
+from kinmatch.plans import catalogue, inputs
 from tests.conftest import rows
 
 
@@ -311,3 +314,26 @@ def test_best_epoch_and_acceptance(spark):
     assert models.best_epoch(h).first()[0] == 1 and models.best_epoch(h, 0.7).first()[0] == -1
     run = spark.createDataFrame([(0.8, 0.9, 0.5, 10, 0.8, 0.899, 0.6, 10)], "base_map double, base_recall double, base_precision double, base_variant_errors int, new_map double, new_recall double, new_precision double, new_variant_errors int")
     assert models.accept_candidate(run).first()[0]
+
+
+def test_title_ranking_equals_brute_force_of_the_whole_model(spark, small):
+    titles = {r["id"]: r["norm"] for r in inputs.titled(spark, small).collect()}
+    grams = {}
+    for i, t in titles.items():
+        words = [f" {w} " for w in t.split(" ") if w]
+        grams[i] = Counter(w[j : j + n] for w in words for n in range(2, 6) for j in range(len(w) - n + 1))
+    df = Counter(g for c in grams.values() for g in c)
+    assert len(df) <= 100_000
+    x = {}
+    for i, c in grams.items():
+        w = {g: (1 + math.log(n)) * (math.log((1 + len(titles)) / (1 + df[g])) + 1) for g, n in c.items()}
+        length = math.sqrt(sum(v * v for v in w.values()))
+        x[i] = {g: v / length for g, v in w.items()}
+    want = {}
+    for q in (i for i in titles if i % 20 == 0):
+        scores = {c: round(sum(v * x[c].get(g, 0.0) for g, v in x[q].items()), 9) for c in titles if c != q}
+        for rank, c in enumerate(sorted(scores, key=lambda c: (-scores[c], c))[:100], 1):
+            want[(q, rank)] = (c, scores[c])
+    got = {(r["query_id"], r["rank"]): (r["candidate_id"], r["score"]) for r in catalogue.tfidf_topk(spark, small).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
