@@ -126,17 +126,22 @@ def probability_of(model, features: DataFrame) -> DataFrame:
     return model.transform(features).withColumn("p", vector_to_array("probability")[1])
 
 
-def contrastive_loss(batch: DataFrame, temperature: float) -> DataFrame:
-    """One row ``loss``: supervised contrastive loss of a batch ``id, label, v`` (unit vectors; a few hundred rows)."""
-    b = batch.select(F.col("id").alias("jd"), F.col("label").alias("jl"), F.col("v").alias("jv"))
-    pairs = batch.join(F.broadcast(b), F.col("id") != F.col("jd")).select("id", "label", "jl", (dot("v", "jv") / temperature).alias("z"))
-    top = pairs.groupBy("id").agg(F.max("z").alias("m"))
-    shifted = pairs.join(F.broadcast(top), "id").select("id", (F.col("label") == F.col("jl")).alias("same"), (F.col("z") - F.col("m")).alias("z"))
-    per = shifted.groupBy("id").agg(
+def contrastive_losses(rows: DataFrame, temperature: float) -> DataFrame:
+    """``batch, loss``: supervised contrastive loss of each batch of ``batch, id, label, v`` (unit vectors; a few hundred rows a batch)."""
+    b = rows.select("batch", F.col("id").alias("jd"), F.col("label").alias("jl"), F.col("v").alias("jv"))
+    pairs = rows.join(b, "batch").where("id <> jd").select("batch", "id", "label", "jl", (dot("v", "jv") / temperature).alias("z"))
+    top = pairs.groupBy("batch", "id").agg(F.max("z").alias("m"))
+    shifted = pairs.join(top, ["batch", "id"]).select("batch", "id", (F.col("label") == F.col("jl")).alias("same"), (F.col("z") - F.col("m")).alias("z"))
+    per = shifted.groupBy("batch", "id").agg(
         F.log(F.sum(F.exp("z"))).alias("lse"), F.sum(F.when(F.col("same"), F.col("z")).otherwise(0.0)).alias("s"), F.sum(F.col("same").cast("long")).alias("n")
     )
     checked = F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("an anchor has no other sample of its label")).cast("long"))
-    return per.agg(F.avg(-(F.col("s") / checked - F.col("lse"))).alias("loss"))
+    return per.groupBy("batch").agg(F.avg(-(F.col("s") / checked - F.col("lse"))).alias("loss"))
+
+
+def contrastive_loss(batch: DataFrame, temperature: float) -> DataFrame:
+    """One row ``loss`` of one batch ``id, label, v``."""
+    return contrastive_losses(batch.withColumn("batch", F.lit(0)), temperature).agg(F.avg("loss").alias("loss"))
 
 
 def accept_candidate(runs: DataFrame) -> DataFrame:

@@ -28,18 +28,37 @@ def product_batches(rows: DataFrame, *, products: int, samples: int, batches: in
     return placed.select("batch", "label", "id", F.explode(slots).alias("slot"))
 
 
-def balanced_pairs(rows: DataFrame, *, ratio: int, seed: int) -> DataFrame:
-    """``left_id, right_id, positive`` of one batch ``id, label``: all positives and at most ``ratio`` negatives each.
+def row_batches(rows: DataFrame, *, size: int, seed: int) -> DataFrame:
+    """All rows ``id, label`` with their ``batch``, about ``size`` rows each.
+
+    Two rows of a label, three where one would be left, go to a batch together,
+    so a row has another of its label in its batch if there is one at all.
+    """
+    own = rows.where("id is not null and label is not null")
+    n = max(1, -(-own.count() // size))
+    by = Window.partitionBy("label")
+    place = F.row_number().over(by.orderBy(stable_order(seed, "id"), "id")) - 1
+    pair = F.greatest(F.lit(0), F.least(F.floor(place / 2), F.floor(F.count("*").over(by) / 2) - 1))
+    return own.withColumn("_pair", pair).withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), "label", "_pair"), F.lit(n)).cast("int")).drop("_pair")
+
+
+def balanced_batches(rows: DataFrame, *, ratio: int, seed: int) -> DataFrame:
+    """``batch, left_id, right_id, positive`` of every batch ``batch, id, label``: all positives and at most ``ratio`` negatives each.
 
     A batch is what a model sees at once, a few hundred rows.
     """
-    a = rows.select(F.col("id").alias("left_id"), F.col("label").alias("ll"))
-    b = rows.select(F.col("id").alias("right_id"), F.col("label").alias("rl"))
-    pairs = a.join(F.broadcast(b), F.col("left_id") < F.col("right_id")).withColumn("positive", F.col("ll") == F.col("rl"))
+    a = rows.select("batch", F.col("id").alias("left_id"), F.col("label").alias("ll"))
+    b = rows.select("batch", F.col("id").alias("right_id"), F.col("label").alias("rl"))
+    pairs = a.join(b, "batch").where("left_id < right_id").withColumn("positive", F.col("ll") == F.col("rl"))
     order = F.sha2(F.concat_ws(":", F.lit(seed), F.col("left_id").cast("string"), F.col("right_id").cast("string")), 256)
-    placed = pairs.withColumn("r", F.row_number().over(Window.partitionBy("positive").orderBy(order, "left_id", "right_id")))
-    total = pairs.agg(F.sum(F.col("positive").cast("long")).alias("np"))
-    return placed.crossJoin(F.broadcast(total)).where(F.col("positive") | (F.col("r") <= ratio * F.col("np"))).select("left_id", "right_id", "positive")
+    placed = pairs.withColumn("r", F.row_number().over(Window.partitionBy("batch", "positive").orderBy(order, "left_id", "right_id")))
+    total = pairs.groupBy("batch").agg(F.sum(F.col("positive").cast("long")).alias("np"))
+    return placed.join(total, "batch").where(F.col("positive") | (F.col("r") <= ratio * F.col("np"))).select("batch", "left_id", "right_id", "positive")
+
+
+def balanced_pairs(rows: DataFrame, *, ratio: int, seed: int) -> DataFrame:
+    """``left_id, right_id, positive`` of one batch ``id, label``."""
+    return balanced_batches(rows.withColumn("batch", F.lit(0)), ratio=ratio, seed=seed).drop("batch")
 
 
 def inspection_pairs(rows: DataFrame, n: int, seed: int) -> DataFrame:

@@ -20,6 +20,7 @@ GRAMS, FEATURES, CANDIDATES = (2, 5), 100_000, 100  # the reference's title mode
 GATES = {"threshold": 0.5, "reciprocal": 10, "override": 0.8}
 SETTING = GATES | {"coverage": 0.5, "most": 64, "margin": 0.05, "name": "frozen"}
 SWEEP = [GATES | {"threshold": t, "coverage": c, "most": 64, "margin": 0.05, "name": f"t{t}_c{c}"} for t in (0.5, 0.7) for c in (0.5, 1.0)]
+BATCH = 256
 SIX = 6
 
 
@@ -551,8 +552,9 @@ def product_batches(spark, d):
 
 
 def balanced_pairs(spark, d):
-    batch = Scratch(spark, "batch").write(product_batches(spark, d).where("batch = 0").select("id", "label").distinct())
-    return sampling.balanced_pairs(batch, ratio=2, seed=7)
+    """Pairs of every batch of a batching of all rows."""
+    s = Scratch(spark, "batch")
+    return sampling.balanced_batches(s.write(sampling.row_batches(s.write(_product_rows(spark, d)), size=BATCH, seed=7)), ratio=2, seed=7)
 
 
 def inspection_pairs(spark, d):
@@ -661,8 +663,10 @@ def text_embeddings(spark, d):
 
 
 def contrastive_loss(spark, d):
-    batch = inputs.embedded(spark, d).where("id < 200").join(inputs.embedded_truth(spark, d), "id")
-    return rounded(models.contrastive_loss(batch, 0.1))
+    """Mean over the batches of a batching of all vectors."""
+    s = Scratch(spark, "loss")
+    rows = s.write(inputs.embedded(spark, d).join(inputs.embedded_truth(spark, d), "id"))
+    return rounded(models.contrastive_losses(s.write(sampling.row_batches(rows, size=BATCH, seed=7)), 0.1).agg(F.avg("loss").alias("loss")))
 
 
 def pair_head(spark, d):

@@ -337,3 +337,35 @@ def test_title_ranking_equals_brute_force_of_the_whole_model(spark, small):
     got = {(r["query_id"], r["rank"]): (r["candidate_id"], r["score"]) for r in catalogue.tfidf_topk(spark, small).collect()}
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+def test_batches_hold_every_row_with_another_of_its_label(spark):
+    data = [(i, i % 9 if i < 100 else 9) for i in range(203)]
+    got = sampling.row_batches(spark.createDataFrame(data, "id int, label int"), size=20, seed=3).collect()
+    assert sorted((r["id"], r["label"]) for r in got) == data and len({r["batch"] for r in got}) > 5
+    assert min(Counter((r["batch"], r["label"]) for r in got).values()) >= 2
+
+
+def test_contrastive_loss_takes_every_vector(spark, small):
+    have = sampling.row_batches(inputs.embedded(spark, small).join(inputs.embedded_truth(spark, small), "id"), size=catalogue.BATCH, seed=7).collect()
+    assert len(have) == 500
+    losses = []
+    for batch in {r["batch"] for r in have}:
+        one = [r for r in have if r["batch"] == batch]
+        z = np.array([r["v"] for r in one]) @ np.array([r["v"] for r in one]).T / 0.1
+        y = np.array([r["label"] for r in one])
+        np.fill_diagonal(z, -np.inf)
+        same = (y[:, None] == y[None, :]) & ~np.eye(len(y), dtype=bool)
+        lp = np.where(same, z - np.log(np.exp(z).sum(1, keepdims=True)), 0)
+        losses.append(-np.mean(lp.sum(1) / same.sum(1)))
+    assert abs(catalogue.contrastive_loss(spark, small).first()["loss"] - np.mean(losses)) < 2e-6
+
+
+def test_pairs_of_every_batch_are_balanced(spark, small):
+    have = sampling.row_batches(catalogue._product_rows(spark, small), size=catalogue.BATCH, seed=7).collect()
+    got = catalogue.balanced_pairs(spark, small).collect()
+    label, batch = {r["id"]: r["label"] for r in have}, {r["id"]: r["batch"] for r in have}
+    want = {(a, b) for a in label for b in label if a < b and label[a] == label[b] and batch[a] == batch[b]}
+    assert {(r["left_id"], r["right_id"]) for r in got if r["positive"]} == want
+    n = Counter((r["batch"], r["positive"]) for r in got)
+    assert want and all(n[(b, False)] == 2 * n[(b, True)] for b in set(batch.values()))
