@@ -71,6 +71,12 @@ def total_positives(truth: DataFrame) -> DataFrame:
     return sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)).alias("total"))
 
 
+def asked_positives(judgements: DataFrame) -> DataFrame:
+    """One row ``total``: directed pairs of one label whose first row was a query."""
+    asked = judgements.select("query_id", "positives").distinct()
+    return asked.agg(F.coalesce(F.sum("positives"), F.lit(0)).alias("total"))
+
+
 def _rates(tp: Column, fp: Column, total: Column) -> list[Column]:
     precision = F.when(tp > 0, tp / (tp + fp)).otherwise(0.0)
     recall = safe_divide(tp, total)

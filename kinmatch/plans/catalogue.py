@@ -212,12 +212,18 @@ def review_examples(spark, d):
     return metrics.review_examples(_judged(spark, d), 10).fillna(0)
 
 
+def _judged_total(spark, d):
+    """The judged ranking and the positives of its queries; a query has candidates whenever there is another row."""
+    j = Scratch(spark, "judged").write(_judged(spark, d))
+    return j, metrics.asked_positives(j)
+
+
 def pair_metrics(spark, d):
-    return rounded(metrics.pair_metrics_at(_judged(spark, d), metrics.total_positives(inputs.embedded_truth(spark, d)), 0.3))
+    return rounded(metrics.pair_metrics_at(*_judged_total(spark, d), 0.3))
 
 
 def _points(spark, d):
-    return metrics.threshold_points(_judged(spark, d), metrics.total_positives(inputs.embedded_truth(spark, d)))
+    return metrics.threshold_points(*_judged_total(spark, d))
 
 
 def select_threshold(spark, d):
@@ -225,11 +231,11 @@ def select_threshold(spark, d):
 
 
 def precision_at_recall(spark, d):
-    return rounded(metrics.precision_at_recall(_points(spark, d), 0.0001))
+    return rounded(metrics.precision_at_recall(_points(spark, d), 0.001))
 
 
 def threshold_curve(spark, d):
-    return rounded(metrics.threshold_curve(_judged(spark, d), metrics.total_positives(inputs.embedded_truth(spark, d))))
+    return rounded(metrics.threshold_curve(*_judged_total(spark, d)))
 
 
 def _weights(spark, d):

@@ -369,3 +369,26 @@ def test_pairs_of_every_batch_are_balanced(spark, small):
     assert {(r["left_id"], r["right_id"]) for r in got if r["positive"]} == want
     n = Counter((r["batch"], r["positive"]) for r in got)
     assert want and all(n[(b, False)] == 2 * n[(b, True)] for b in set(batch.values()))
+
+
+def test_missed_pairs_are_those_of_the_asked_queries(spark, small):
+    label = {r["id"]: r["label"] for r in inputs.embedded_truth(spark, small).collect()}
+    sizes = Counter(label.values())
+    total = sum(sizes[label[i]] - 1 for i in label if i % 20 == 0)
+    hits = {}
+    for r in catalogue._judged(spark, small).collect():
+        tp, fp = hits.get(r["score"], (0, 0))
+        hits[r["score"]] = (tp + r["hit"], fp + 1 - r["hit"])
+    points, tp, fp = [], 0, 0
+    for score in sorted(hits, reverse=True):
+        tp, fp = tp + hits[score][0], fp + hits[score][1]
+        precision, recall = tp / (tp + fp), tp / total
+        points.append((2 * precision * recall / (precision + recall) if tp else 0, precision, score, recall))
+    got = catalogue.select_threshold(spark, small).first()
+    best = max(points)
+    assert (got["f1"], got["precision"], got["threshold"], got["recall"]) == pytest.approx(best, abs=1e-6)
+    assert got["true_positive"] + got["false_negative"] == total
+    for r in (catalogue.pair_metrics(spark, small).first(), catalogue.threshold_curve(spark, small).first()):
+        assert r["true_positive"] + r["false_negative"] == total
+    floor = catalogue.precision_at_recall(spark, small).first()
+    assert (floor["precision"], floor["threshold"]) == pytest.approx(max((p, s) for _, p, s, recall in points if recall >= 0.001), abs=1e-6)
