@@ -37,6 +37,10 @@ def unknown_rate(titles: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return met.agg((F.sum(F.when(F.col("token_id").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("unknown_rate"))
 
 
+#: Titles that a worker encodes at once, which bounds its arrays.
+ENCODED_ROWS = 500
+
+
 @dataclass
 class TextEncoder:
     """Character embedding, convolutions of several widths, masked maximum, layer norm, two dense layers, unit length."""
@@ -78,9 +82,10 @@ class TextEncoder:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for d in batches:
-                if len(d):
-                    v = self.encode(np.stack(d["ids"].to_numpy()).astype(int))
-                    yield pd.DataFrame({"id": d["id"], "v": list(v.astype(float))})
+                for i in range(0, len(d), ENCODED_ROWS):
+                    part = d.iloc[i : i + ENCODED_ROWS]
+                    v = self.encode(np.stack(part["ids"].to_numpy()).astype(int))
+                    yield pd.DataFrame({"id": part["id"], "v": list(v.astype(float))})
 
         spread = df.select("id", "ids").repartition(df.sparkSession.sparkContext.defaultParallelism)  # the work per row is large
         return spread.mapInPandas(run, f"id {kind}, v array<double>")

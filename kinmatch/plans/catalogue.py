@@ -658,14 +658,18 @@ def near_phash_cross_split(spark, d):
 # ---- models and matching
 
 
-def text_embeddings(spark, d):
+def _title_vectors(spark, d):
+    """``id, v`` of every title, with the reference's length and vocabulary: 510 characters besides padding and unknown."""
     s = Scratch(spark, "encoder")
     t = inputs.titled(spark, d)
-    vocabulary = s.write(models.character_vocabulary(t, 5, 200))
-    chars = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("vocab"))  # at most 200 entries
-    ids = t.crossJoin(F.broadcast(chars)).select("id", T.encoded_title("norm", F.col("vocab"), 96).alias("ids"))
-    v = models.TextEncoder.seeded(202).embed(ids)
-    return v.select(F.col("id").alias("row_number"), F.size("v").alias("width"), F.round(dot("v", "v"), 4).alias("length"))
+    vocabulary = s.write(models.character_vocabulary(t, 2, 510))
+    chars = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("vocab"))  # at most 510 entries
+    ids = t.crossJoin(F.broadcast(chars)).select("id", T.encoded_title("norm", F.col("vocab"), 128).alias("ids"))
+    return models.TextEncoder.seeded(512).embed(ids)
+
+
+def text_embeddings(spark, d):
+    return _title_vectors(spark, d).select(F.col("id").alias("row_number"), F.size("v").alias("width"), F.round(dot("v", "v"), 4).alias("length"))
 
 
 def contrastive_loss(spark, d):

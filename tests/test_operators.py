@@ -392,3 +392,13 @@ def test_missed_pairs_are_those_of_the_asked_queries(spark, small):
         assert r["true_positive"] + r["false_negative"] == total
     floor = catalogue.precision_at_recall(spark, small).first()
     assert (floor["precision"], floor["threshold"]) == pytest.approx(max((p, s) for _, p, s, recall in points if recall >= 0.001), abs=1e-6)
+
+
+def test_title_vectors_read_128_characters_and_510_kinds(spark, tmp_path):
+    kinds = "".join(chr(0x4E00 + i) for i in range(300))
+    long = "abcd " * 20
+    titles = [long + "x", long + "y", kinds[:100], kinds[100:200], kinds[200:], *kinds.replace("", " ").split(), "x y"]
+    spark.createDataFrame(list(enumerate(titles)), "row_number long, title string").coalesce(1).write.parquet(str(tmp_path / "listing.parquet"))
+    v = {r["id"]: np.array(r["v"]) for r in catalogue._title_vectors(spark, str(tmp_path)).collect()}
+    apart = [(0, 1), (5 + 250, 5 + 251), (5 + 280, 5 + 281)]
+    assert len(v) == len(titles) and all(np.abs(v[a] - v[b]).max() > 1e-6 for a, b in apart)
