@@ -90,6 +90,30 @@ def test_long_chain_and_empty_links(spark):
     assert [(r["posting_id"], r["cluster_size"]) for r in every.collect()] == [("a", 1)]
 
 
+def test_chain_in_id_order_takes_few_rounds(spark):
+    import math
+
+    from kinmatch.runtime import Scratch
+
+    n = 1_000_000
+    ids = F.format_string("c%07d", F.col("id"))
+    chain = spark.range(n).select(ids.alias("src"), F.format_string("c%07d", F.col("id") + 1).alias("dst"))
+    scratch = Scratch(spark, "chain")
+    maps = grid_components.contracted(scratch.write(chain), scratch, 40_000)
+    assert 1 < len(maps) <= 2 * math.log2(n)
+
+
+def test_heavy_cells_are_split(spark):
+    hub = spark.range(6_000).select(F.lit("hub").alias("src"), F.concat(F.lit("v"), "id").alias("dst"))
+    pairs = spark.range(12_000).select(F.concat(F.lit("x"), "id").alias("src"), F.concat(F.lit("y"), "id").alias("dst"))
+    links = hub.unionByName(pairs)
+    side = 19  # as for cells of 100
+    cells = grid_components.cells_of(links, side, 0, 100).groupBy("row_", "col_", "salt").count()
+    assert cells.agg(F.max("count")).first()[0] <= 200
+    got = grid_components.grid_components(links, cell_edges=100)
+    assert got.where("root = 'hub'").count() == 6_001 and got.count() == 30_001
+
+
 # ---- 3
 
 
