@@ -108,7 +108,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.truncated_texts(table(spark, d, "documents")).select(F.col("id").alias("doc_id"))
+    return truncation.truncated_texts(table(spark, d, "documents")).select(F.col("id").alias("doc_id")).distinct()
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -117,12 +117,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_spikes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
-    units = F.array(
-        F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")),
-        F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")),
-    )
-    return truncation.length_spikes(docs.select("source", F.explode(units).alias("u")).select("source", "u.unit", "u.length"))
+    return truncation.length_spikes(truncation.text_lengths(table(spark, d, "documents").where("text is not null")))
 
 
 _ALL = (

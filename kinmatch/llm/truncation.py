@@ -1,178 +1,168 @@
 """Texts that lost their end, found by length spikes and by how sentences go on.
 
 A limit shows as a spike at the top of a source's length histogram, in
-characters or in bytes.  Text at a spike without a final sign is cut.  A
-transfer that broke off leaves no spike; there the last words tell: over the
-whole corpus it is counted how often they end a sentence or a text and how
-often more follows.
+characters or in bytes; a text at a spike without a final sign was cut.  A
+transfer that broke off leaves no spike.  There the last words tell: it is
+counted over the whole corpus how often the runs of words that stand at an open
+end elsewhere end a sentence or a text, and how often more follows.  Only runs
+that some open end asks for are counted.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.llm.bit_filter import bit_filter, passes
 from kinmatch.runtime import Scratch
 
-#: A word is common from this share of all texts on (and in three texts at least); rarer ones are names.
-COMMON_SHARE, COMMON_LEAST = 5e-4, 3
 #: A spike holds at least so many texts and so many times the mean of the lengths around it.
 SPIKE_LEAST, SPIKE_TIMES, SPIKE_AROUND = 5, 6.0, 20
 #: Byte limits may leave out the last character, which has up to four bytes.
 CHARACTER_BYTES = 4
-#: Share of ends below which more is missing, and occurrences that make an n-gram worth asking.
+#: Share of ends below which more is missing, and occurrences that make a run of words worth asking.
 END_SHARE, SUPPORT = 0.5, 3
 #: The same for a number and its point, which may also be a closed sentence.
 CLOSED_SHARE = 0.1
-#: Names are not shorter than all but this share of the names that end nothing.
-NAME_QUANTILE = 0.002
-#: Longer words are names like any of this length.
-LONGEST = 40
+#: Longest run of words that is asked for.
 ORDER = 5
-#: Runs of words that a task counts before it hands the counts on.
-HELD_RUNS = 200_000
-
-_TOKEN = re.compile(r"[A-Z]{2}-\d+|\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|&[a-z]*;?|</?[a-z]*>?|[#:]|[.!?…]+|\n")
-_STOP = re.compile(r"[.!?…]+")
-_FINAL = re.compile(r"[.!?\])\"'”’»}>]$")
-_ELLIPSIS = re.compile(r"(?:…|\.{2,}|\[(?:…|\.{2,})\])\s*$")
+#: Characters of the texts that a task takes apart at once.
+PORTION = 4_000_000
+
+_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|&[a-z]*;?|</?[a-z]*>?|[#:]|[.!?…]+|\n")
+_BLANK = " \t\n\r\f "
+# Java patterns over the tail of a text
+_ELLIPSIS = r"(?:…|\.{2,}|\[(?:…|\.{2,})\])\s*$"
+_FINAL = r"[.!?\])\"'”’»}>\p{So}\p{Sk}\p{Mn}\p{Cf}]$"
 #: A number may have been cut at its decimal sign.
-_DECIMAL = re.compile(r"(?<![-\d])\d+[.]$")
+_DECIMAL = r"(?<![-\d])\d+[.]$"
 #: An entity, a tag or a character that was cut in its middle.
-_BROKEN = re.compile(r"(?:&[a-z]{0,7}|</?[a-z][^<>]{0,200}|<|\ufffd)$")
+_BROKEN = r"(?:&[a-z]{0,7}|</?[a-z][^<>]{0,200}|<|\x{FFFD})$"
+#: Longest end that those patterns look at.
+_TAIL = 256
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
-def _shape(token: str, common: frozenset[str]) -> str:
-    if "-" in token and token[0].isupper():
-        return f"<AA-{'0' * (len(token) - 3)}>"
-    if token[0].isdigit():
-        return "0" * min(len(token), 3) if token.isdigit() else "0.0"
-    low = token.lower()
-    if low in common or not (token[0].isalpha()):
-        return low
-    return "<Name>" if token[0].isupper() else "<rare>"
-
-
-def sentences(text: str, common: frozenset[str]) -> tuple[list[tuple[list[str], list[str]]], bool]:
-    """Shapes and loosened shapes of each sentence, and whether a sign closes the last one."""
-    found: list[tuple[list[str], list[str]]] = [(["^"], ["^"])]
-    closed = False
-    for m in _TOKEN.finditer(text):
-        token = m[0]
-        if token == "\n" or _STOP.fullmatch(token):
-            closed = token != "\n" or closed
-            if len(found[-1][0]) > 1:
-                found.append((["^"], ["^"]))
-        else:
-            shapes, loose = found[-1]
-            shape = _shape(token, common)
-            if shapes[-1][0] == "0" and shape != "<rare>":
-                wide = "<unit>"
-            elif len(shapes) > 1 and token[0].isupper() and token[1:].islower():
-                wide = "<Name>"
-            else:
-                wide = shape
-            shapes.append(shape)
-            loose.append(wide)
-            closed = False
-    return (found if len(found[-1][0]) > 1 else found[:-1]), closed
-
-
-def runs(shapes: list[str], loose: list[str], last: int) -> Iterator[str]:
-    """Runs of words that end at ``last``, the longest first; each as it is, then loosened.
-
-    Loosened, a capitalised word inside a sentence is a name and a word after a
-    number a unit, which makes a run of few occurrences comparable.
-    """
-    for n in range(min(ORDER, last + 1), 1, -1):
-        yield " ".join(shapes[last - n + 1 : last + 1])
-        if n > 2 or last == 1:
-            yield "~" + " ".join(loose[last - n + 1 : last + 1])
 
+def trimmed(text: Column) -> Column:
+    """The text without blanks at its end."""
+    return F.rtrim(text, F.lit(_BLANK))
 
-def bare_end(text: str) -> str:
+
+def bare_end(text: Column) -> Column:
     """The text without blanks and without an ellipsis at its end."""
-    return _ELLIPSIS.sub("", text.rstrip()).rstrip()
+    t = trimmed(text)
+    return F.when(F.right(t, F.lit(8)).rlike(_ELLIPSIS), trimmed(F.regexp_replace(t, _ELLIPSIS, ""))).otherwise(t)
 
 
-def ends_open(text: str) -> bool:
-    """Whether no final sign, bracket or picture closes the text; an ellipsis closes nothing."""
-    t = text.rstrip()
-    if not t or _ELLIPSIS.search(t):
-        return True
-    if _DECIMAL.search(t) or t[-1] == "\ufffd":
-        return True
-    return not _FINAL.search(t) and unicodedata.category(t[-1]) not in ("So", "Sk", "Mn", "Cf")
+def ends_open(text: Column) -> Column:
+    """Whether no final sign, bracket or picture closes the text; an ellipsis closes nothing, nor does a number's point."""
+    end = F.right(trimmed(text), F.lit(_TAIL))
+    return (end != "") & (end.rlike(_ELLIPSIS) | end.rlike(_DECIMAL) | end.endswith("�") | ~end.rlike(_FINAL))
 
 
-def _count_runs(common: list[str]):
-    words = frozenset(common)
+def _portions(d: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in parts of bounded length, but for single texts that are longer."""
+    upto = d["text"].str.len().cumsum() // PORTION
+    yield from (part for _, part in d.groupby(upto, sort=False))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter[str] = Counter()
-        ends: Counter[str] = Counter()
-        names: Counter[int] = Counter()
-
-        def out() -> pd.DataFrame:
-            d = pd.DataFrame({"key": list(total), "total": list(total.values())})
-            d["ends"] = [ends[k] for k in d["key"]]
-            lengths = pd.DataFrame({"key": [f"\x1f{n}" for n in names], "total": list(names.values()), "ends": 0})
-            total.clear(), ends.clear(), names.clear()
-            return pd.concat([d, lengths], ignore_index=True)
-
-        for d in batches:
-            for text in d["text"]:
-                parts, closed = sentences(text, words)
-                for shapes, loose in parts:
-                    for j in range(1, len(shapes)):
-                        total.update(runs(shapes, loose, j))
-                    ends.update(runs(shapes, loose, len(shapes) - 1))
-                for m in re.finditer(r"[^\W\d_]+(?= [^\W\d_])", text):
-                    w = m[0]
-                    if w[0].isupper() and w[1:].islower() and w.lower() not in words:
-                        names[min(len(w), LONGEST)] += 1
-                if len(total) > HELD_RUNS:
-                    yield out()
-        if total:
-            yield out()
 
-    return run
+def _shape(token: str) -> str:
+    if token[0].isdigit():
+        return "0" * min(len(token), 3) if token.isdigit() else "0.0"
+    return token.lower()
 
 
-def common_words(texts: DataFrame, n: int) -> list[str]:
-    """Words in a fixed share of all texts; their number is bounded by words per text over that share.
+def word_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Places of the last word of each text (-1: none), which words end a sentence, and the runs that end at each word.
 
-    The last word of a text may be half a word, and halves must not become
-    words by being many: those seen only there count if no other word goes on
-    from them.
+    A run is a pair of arrays over all places: its hash, and whether it is
+    there.  The longest come first, each as it is and then loosened, with
+    every capitalised word inside a sentence as a name and every number but a
+    last one as any number; else numbers are shapes of their length.  A run may
+    take in the start of its sentence, not more.
     """
-    letters = r"[^\p{L}'’]+"
-    low = F.lower("text")
-    words = F.array_union(
-        F.transform(F.split(F.regexp_replace(low, r"[\p{L}'’]+$", ""), letters), lambda w: F.concat(F.lit("a"), w)),
-        F.array(F.concat(F.lit("z"), F.regexp_extract(low, r"([\p{L}'’]+)$", 1))),
-    )
-    least = max(COMMON_LEAST, math.ceil(COMMON_SHARE * n))
-    rows = texts.select(F.explode(words).alias("w")).where("length(w) > 1").groupBy("w").agg(F.count("*").alias("n"))
-    often = [r["w"] for r in rows.where(F.col("n") >= least).select("w").collect()]
-    inside = {w[1:] for w in often if w[0] == "a"}
-    starts = {w[:i] for w in inside for i in range(1, len(w))}
-    return sorted(inside | {w[1:] for w in often if w[0] == "z" and w[1:] not in starts})
+    lists = [_TOKEN.findall(t) for t in texts]
+    flat = ["\n"]
+    last = np.empty(len(lists), dtype=np.int64)
+    for i, x in enumerate(lists):
+        flat += x
+        last[i] = len(flat) - 1
+        flat.append("\n")
+    codes, uniques = pd.factorize(np.array(flat, dtype=object))
+    stop = np.array([u[0] in "\n.!?…" for u in uniques])[codes]
+    shape = pd.util.hash_array(np.array(["^" if u[0] in "\n.!?…" else _shape(u) for u in uniques], dtype=object), categorize=False)[codes]
+    capital = np.array([u[0].isupper() for u in uniques])[codes]
+    inside = np.zeros(len(codes), dtype=bool)
+    inside[1:] = ~stop[:-1]
+    number = np.array([u[0].isdigit() for u in uniques])[codes]
+    any_name, any_number = pd.util.hash_array(np.array(["<Name>", "<Number>"], dtype=object), categorize=False)
+    loose = np.where(capital & inside, any_name, shape)
+    before = np.where(number, any_number, loose)
+    at = np.arange(len(codes))
+    since = at - np.maximum.accumulate(np.where(stop, at, 0))
+    ends = np.zeros(len(codes), dtype=bool)
+    ends[:-1] = stop[1:]
+    runs: list[tuple[np.ndarray, np.ndarray]] = []
+    with np.errstate(over="ignore"):
+        exact_run, loose_run, power = shape.copy(), loose.copy(), np.uint64(1)
+        for n in range(2, ORDER + 1):
+            power *= _STEP
+            exact_run[n - 1 :] += shape[: len(shape) - n + 1] * power
+            loose_run[n - 1 :] += before[: len(before) - n + 1] * power
+            there = since >= n - 1
+            mix = lambda h, kind: (h + np.uint64(2 * n + kind)) * _STEP ^ (h >> np.uint64(29))  # noqa: B023, E731
+            runs.append((mix(loose_run, 1), there if n > 2 else since == 1))
+            runs.append((mix(exact_run, 0), there))
+    # a text that ends with stops has its last word before them
+    for i in np.flatnonzero(stop[last]):
+        j = last[i]
+        while j > 0 and stop[j] and flat[j] != "\n":
+            j -= 1
+        last[i] = -1 if stop[j] else j
+    return last, ends & ~stop, runs[::-1]
+
+
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``row, keys``: the runs at the end of each text, the longest first."""
+    for d in (part for batch in batches for part in _portions(batch)):
+        last, _, runs = word_runs(list(d["text"]))
+        hashes = np.stack([h[last] for h, _ in runs], axis=1).view(np.int64)
+        there = np.stack([t[last] & (last >= 0) for _, t in runs], axis=1)
+        yield pd.DataFrame({"row": d["row"].to_numpy(), "keys": [h[t].tolist() for h, t in zip(hashes, there, strict=True)]})
+
+
+def _counted(held: np.ndarray):
+    """``key, total, ends`` of the runs that may have been asked for; the end of a text that a limit cut ends nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in (part for batch in batches for part in _portions(batch)):
+            last, ends, runs = word_runs(list(d["text"]))
+            whole = np.ones(len(ends), dtype=bool)
+            whole[last[d["cut"].to_numpy(dtype=bool)]] = False
+            keys, closing = [], []
+            for h, there in runs:
+                places = np.flatnonzero(there & whole)
+                places = places[passes(held, h[places])]
+                keys.append(h[places])
+                closing.append(ends[places])
+            one, back = np.unique(np.concatenate(keys), return_inverse=True)
+            yield pd.DataFrame({"key": one.view(np.int64), "total": np.bincount(back, minlength=len(one)), "ends": np.bincount(back, weights=np.concatenate(closing), minlength=len(one)).astype(np.int64)})
+
+    return run
 
 
 def length_spikes(lengths: DataFrame) -> DataFrame:
     """``source, unit, length, n, texts`` of the lengths at which a source cuts its texts.
 
     ``lengths``: ``source, unit, length``.  A length is a spike if it holds far
-    more texts than the lengths around it; only the upper half of the range
-    counts, since a limit is where lengths end.
+    more texts than the lengths around it; only the upper half of a source's
+    range counts, since a limit is where lengths end.
     """
     hist = lengths.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
     top = hist.groupBy("source", "unit").agg(F.max("length").alias("top"), F.sum("n").alias("texts"))
@@ -183,107 +173,64 @@ def length_spikes(lengths: DataFrame) -> DataFrame:
         hist.join(around, ["source", "unit", "length"]).join(top, ["source", "unit"])
         .where(F.col("n") >= SPIKE_LEAST)
         .where(F.col("n") >= SPIKE_TIMES * (F.col("around") - F.col("n")) / (2 * SPIKE_AROUND))
-        .where(F.col("length") * 4 >= F.col("top"))
+        .where(F.col("length") * 2 >= F.col("top"))
         .select("source", "unit", "length", "n", "texts")
     )
 
 
-def _judge(common: list[str], shortest_name: int):
-    words = frozenset(common)
-    starts = frozenset(w[:i] for w in common for i in range(1, len(w)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            rows = []
-            for i, text in zip(d["id"], d["text"], strict=True):
-                if not text.strip() or not ends_open(text):
-                    continue
-                end = bare_end(text)
-                if _BROKEN.search(end):
-                    rows.append((i, True, False, [], 0))
-                    continue
-                parts, closed = sentences(end, words)
-                if not parts or (closed and not _DECIMAL.search(end)):
-                    continue
-                last = re.search(r"[^\W\d_]+$", end)
-                partial = 0
-                if last:
-                    w = last[0]
-                    low = w.lower()
-                    if low not in words:
-                        # 2: the start of a word or too short for a name; 1: a name, whole or not
-                        partial = 2 if low in starts or len(w) < shortest_name else 1
-                shapes, loose = parts[-1]
-                rows.append((i, False, closed, list(runs(shapes, loose, len(shapes) - 1)), partial))
-            yield pd.DataFrame(rows, columns=["id", "broken", "closed", "keys", "partial"])
-
-    return run
+def text_lengths(texts: DataFrame) -> DataFrame:
+    """``source, unit, length`` of ``source, text``, in characters and in bytes."""
+    units = F.array(
+        F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")),
+        F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")),
+    )
+    return texts.select("source", F.explode(units).alias("u")).select("source", "u.unit", "u.length")
 
 
 def truncated_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``id, source, spike, end_share`` of the texts that stop inside a word or sentence.
 
-    ``spike``: the text has a length at which its source cuts.  ``end_share``:
-    how often the last words end a sentence elsewhere (null: never seen).
-    Null and blank texts have lost nothing; rows with a null id are left out;
-    texts of a null source form a source of their own; repeated rows are
-    judged alike; whole texts are read whatever their length.
+    ``spike``: the text has a length at which its source cuts, and no final
+    sign.  ``end_share``: how often the last words end a sentence elsewhere
+    (null: not asked or never seen).  Null and blank texts have lost nothing;
+    rows with a null id are left out; texts of a null source form a source of
+    their own; repeated rows are judged alike and come as often as they are
+    there; whole texts are read whatever their length.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "ends")
+    scratch = Scratch(df.sparkSession, "ends")
     texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(source), F.lit("\x1f")).alias("source")).where(
         "text is not null and id is not null"
     )
-    n = texts.count()
-    if n == 0:
-        return spark.createDataFrame([], "id long, source string, spike boolean, end_share double")
-    common = common_words(texts, n)
-    counts = scratch.write(
-        texts.select("text").mapInPandas(_count_runs(common), "key string, total long, ends long")
-        .groupBy("key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
-    )
-    # one row for each length that a name can have
-    lengths = sorted((int(r["key"][1:]), r["total"]) for r in counts.where("key like '\x1f%'").collect())
-    shortest, seen, every = 0, 0, sum(m for _, m in lengths)
-    for size, m in lengths:
-        seen += m
-        if seen > NAME_QUANTILE * every:
-            shortest = size
-            break
-    units = F.array(
-        F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")),
-        F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")),
-    )
-    sized = texts.select("id", "source", F.explode(units).alias("u")).select("id", "source", "u.unit", "u.length")
-    spikes = length_spikes(sized.select("source", "unit", "length"))
+    spikes = scratch.write(length_spikes(text_lengths(texts)))
     # a byte limit may fall inside a character, which is then left out
     room = F.when(F.col("unit") == "bytes", F.sequence(F.col("length") - (CHARACTER_BYTES - 1), F.col("length"))).otherwise(F.array("length"))
-    at_spike = (
-        sized.join(spikes.select("source", "unit", F.explode(room).alias("length")).distinct(), ["source", "unit", "length"], "left_semi")
-        .select("id").distinct().withColumn("spike", F.lit(True))
+    limits = spikes.select("source", "unit", F.explode(room).alias("length")).distinct()
+    limit = lambda unit, name: limits.where(F.col("unit") == unit).select("source", F.col("length").alias(name), F.lit(True).alias(f"at_{name}"))
+    tail = F.right("text", F.lit(_TAIL))
+    sized = (
+        texts.select("*", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+        .join(limit("chars", "chars"), ["source", "chars"], "left").join(limit("bytes", "bytes"), ["source", "bytes"], "left")
+        .select("id", "source", "text", ends_open(F.col("text")).alias("open"), (F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))).alias("spike"))
     )
-    open_ = scratch.write(
-        texts.select("id", "text").mapInPandas(_judge(common, shortest), "id long, broken boolean, closed boolean, keys array<string>, partial int")
+    open_ = (
+        sized.where("open").select("id", "source", F.xxhash64("id", "source", "text").alias("row"), "spike", bare_end(F.col("text")).alias("text"))
+        .select("id", "source", "row", "spike", tail.rlike(_BROKEN).alias("broken"), tail.rlike(_DECIMAL).alias("decimal"), tail.rlike(_FINAL).alias("closed"), "text")
     )
-    asked = open_.where("not broken").select("id", "partial", F.posexplode("keys").alias("turn", "key"))
-    met = asked.join(counts, "key").where(F.col("total") > SUPPORT)  # its own occurrence is one of them
-    best = met.groupBy("id").agg(
-        F.min_by(F.struct("total", "ends"), "turn").alias("c")
-    ).select("id", ((F.col("c.ends") - 1) / (F.col("c.total") - 1)).alias("end_share"))
-    judged = open_.select("id", "broken", "closed", "partial").join(best, "id", "left").join(at_spike, "id", "left")
-    share = F.coalesce("end_share", F.lit(0.0))
-    cut = (
-        F.col("broken")
-        | (F.col("partial") == 2)
-        | (~F.col("closed") & (share < END_SHARE))
-        | (F.col("closed") & (F.col("end_share") < CLOSED_SHARE))
-        | (F.coalesce("spike", F.lit(False)) & (F.col("partial") == 1))
+    open_ = scratch.write(open_)
+    asked = scratch.write(
+        open_.where("not spike and not broken and (decimal or not closed)").select("row", "text").mapInPandas(_asked, "row long, keys array<long>").dropDuplicates(["row"])
     )
-    sources = texts.select("id", F.when(F.col("source") != "\x1f", F.col("source")).alias("source"))
-    return (
-        judged.where(cut).join(sources, "id")
-        .select("id", "source", F.coalesce("spike", F.lit(False)).alias("spike"), "end_share")
+    held = bit_filter(asked.select(F.explode("keys").alias("key")), "key")
+    counts = sized.select("text", (F.col("open") & F.col("spike")).alias("cut")).mapInPandas(_counted(held), "key long, total long, ends long").groupBy("key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
+    met = asked.select("row", F.posexplode("keys").alias("turn", "key")).join(counts, "key").where(F.col("total") > SUPPORT)  # its own occurrence is one of them
+    best = met.groupBy("row").agg(F.min_by(F.struct("total", "ends"), "turn").alias("c")).select("row", ((F.col("c.ends") - 1) / (F.col("c.total") - 1)).alias("end_share"))
+    judged = open_.drop("text").join(asked.select("row", F.size("keys").alias("n_keys")), "row", "left").join(best, "row", "left")
+    cut = (
+        F.col("spike") & (~F.col("closed") | F.col("decimal")) | F.col("broken")
+        | (~F.col("closed") & (F.col("n_keys") > 0) & (F.coalesce("end_share", F.lit(0.0)) < END_SHARE))
+        | (F.col("closed") & F.col("decimal") & (F.col("end_share") < CLOSED_SHARE))
     )
+    return judged.where(cut).select("id", F.when(F.col("source") != "\x1f", F.col("source")).alias("source"), "spike", "end_share")
 
 
 def source_rates(df: DataFrame, found: DataFrame, id_col: str = "doc_id", source: str = "source") -> DataFrame:

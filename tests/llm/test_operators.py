@@ -1,6 +1,5 @@
 import random
 import re
-import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -370,6 +369,33 @@ def test_truncation_by_spike_and_by_broken_transfer(spark):
 
 
 def test_ends(spark):
-    assert truncation.ends_open("to be") and truncation.ends_open("a...") and truncation.ends_open("x�") and truncation.ends_open("ship 20.")
-    assert not truncation.ends_open("Done.") and not truncation.ends_open("ok 👍") and not truncation.ends_open("(end of note)") and not truncation.ends_open("choose XS-10191.")
-    assert unicodedata.category("👍") == "So" and truncation.bare_end("a [...] ") == "a"
+    some = ["to be", "a...", "x\ufffd", "ship 20.", "a [...] ", "Done.", "ok 👍", "(end of note)", "choose XS-10191.", "", " \n"]
+    got = {r["t"]: (r["o"], r["b"]) for r in spark.createDataFrame([(t,) for t in some], "t string").select("t", truncation.ends_open(F.col("t")).alias("o"), truncation.bare_end(F.col("t")).alias("b")).collect()}
+    assert [t for t in some if got[t][0]] == some[:5] and got["a [...] "][1] == "a" and got["Done."][1] == "Done."
+
+
+def test_word_runs_equal_their_definition():
+    texts = ["We pack 12 boxes. The red Mug is", "", "...", "ok\nThe Red mug holds 0.5 l!", "x"]
+    last, ends, runs = truncation.word_runs(texts)
+    assert [j >= 0 for j in last] == [True, False, False, True, True] and len(runs) == 2 * (truncation.ORDER - 1)
+    by = {}
+    for h, there in runs:
+        for j in range(len(h)):
+            if there[j]:
+                by.setdefault(int(h[j]), []).append(j)
+    # "The red Mug" and "The Red mug" meet as they are
+    shared = [places for places in by.values() if len(places) > 1]
+    assert shared and all(len(p) == 2 for p in shared) and ends.sum() == 5
+
+
+def test_bit_filter_holds_every_key(spark):
+    import numpy as np
+
+    from kinmatch.llm.bit_filter import bit_filter, passes
+
+    keys = [i * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63) for i in range(3_000)]
+    held = bit_filter(spark.createDataFrame([(k,) for k in [*keys, None]], "k long"), "k", bits=1 << 18)
+    assert passes(held, np.array(keys, dtype=np.int64).view(np.uint64)).all()
+    others = np.arange(1, 50_001, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    assert passes(held, others).mean() < 0.02
+    assert not bit_filter(spark.createDataFrame([], "k long"), "k").any()
