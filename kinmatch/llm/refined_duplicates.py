@@ -1,9 +1,9 @@
 """Records that are the same but for their formatting, by progressive refinement.
 
-A first pass groups by invariants that cost little (stripped length and letter
-histogram); the costlier exact key is made only for rows of classes with
-several members.  Counts and first rows are aggregated before any join, so a
-record that makes up a third of all rows is one row after the map side.
+Three levels, each only inside the classes of the one before that have several
+members: stripped length and bare code, then the letter histogram, then the
+exact key.  Counts and first rows are aggregated before any join, so a record
+that makes up a third of all rows is one row after the map side.
 """
 
 from __future__ import annotations
@@ -21,11 +21,18 @@ def one_case(c: Column) -> Column:
     return F.lower(c)
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(one_case(c), NEITHER, "")
+
+
 def cheap_invariant(title: Column, code: Column) -> Column:
-    """Hash of stripped lengths and letter histogram; equal records always agree on it."""
-    t = F.regexp_replace(one_case(title), NEITHER, "")
-    h = F.regexp_replace(one_case(code), NEITHER, "")
-    return F.xxhash64(F.length(t), F.array_join(F.sort_array(F.split(t, "")), ""), F.length(h), h)
+    """Hash of the title's stripped length and the bare code; equal records always agree on it."""
+    return F.xxhash64(F.length(stripped(title)), stripped(code))
+
+
+def letter_histogram(title: Column) -> Column:
+    """Hash of the letters and digits in order, each as often as it comes."""
+    return F.xxhash64(F.array_join(F.sort_array(F.split(stripped(title), "")), ""))
 
 
 def exact_key(title: Column, code: Column) -> Column:
@@ -41,21 +48,29 @@ def refine_duplicates(df: DataFrame, id_col: str, title: str, code: str) -> Data
     ``first_id`` is the smallest id of the record's rows.  A row in which a
     field is null is no record and is left out; texts of signs only are the
     empty record; every row counts, redelivered ones too.  Other columns are
-    not read, so their names do not matter.  The classes and the rows of those
-    with several members are written once, so each invariant is made once.
+    not read, so their names do not matter.  The first invariant is made on both
+    passes over the rows, as writing all texts would cost more; everything after
+    it is made once, for rows that may still have a partner.
     """
     scratch = Scratch(df.sparkSession, "records")
     rows = df.select(F.col(id_col).alias("row_id"), F.col(title).alias("t"), F.col(code).alias("h")).where(
         "row_id is not null and t is not null and h is not null"
     )
+
+    def classes(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows that stand alone in their class ``c``, and the classes of several."""
+        found = scratch.write(level.groupBy("c").agg(F.count("*").alias("n"), F.min("row_id").alias("only")))
+        single = found.where("n = 1").select(F.col("only").alias("row_id"), F.col("only").alias("first_id"), F.lit(1).cast("long").alias("copies"))
+        return single, found.where("n > 1").select("c")
+
     first = rows.select("*", cheap_invariant(F.col("t"), F.col("h")).alias("c"))
-    classes = scratch.write(first.groupBy("c").agg(F.count("*").alias("n"), F.min("row_id").alias("only")))
-    alone = classes.where("n = 1").select(F.col("only").alias("row_id"), F.col("only").alias("first_id"), F.lit(1).cast("long").alias("copies"))
-    joint = scratch.write(
-        first.join(classes.where("n > 1").select("c"), "c", "left_semi").select("row_id", exact_key(F.col("t"), F.col("h")).alias("key"))
-    )
+    alone, several = classes(first.select("row_id", "c"))
+    second = scratch.write(first.join(several, "c", "left_semi").select("row_id", "t", "h", F.xxhash64("c", letter_histogram(F.col("t"))).alias("c")))
+    alone_too, several = classes(second.select("row_id", "c"))
+    joint = scratch.write(second.join(several, "c", "left_semi").select("row_id", exact_key(F.col("t"), F.col("h")).alias("key")))
+    scratch.drop(second)
     records = joint.groupBy("key").agg(F.min("row_id").alias("first_id"), F.count("*").alias("copies"))
-    return alone.unionByName(joint.join(records, "key").select("row_id", "first_id", "copies"))
+    return alone.unionByName(alone_too).unionByName(joint.join(records, "key").select("row_id", "first_id", "copies"))
 
 
 def distinct_records(df: DataFrame, id_col: str, title: str, code: str) -> DataFrame:
