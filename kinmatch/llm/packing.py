@@ -23,6 +23,8 @@ from kinmatch.runtime import Scratch
 
 CAPACITY = 1024
 BLOCK_ITEMS = 40_000
+#: Equal rows that are numbered at once.
+COPIES = 10_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public byte-level tokenizer parts a text before it joins bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -102,7 +104,9 @@ def pack_texts(counts: DataFrame, *, capacity: int = CAPACITY, block_items: int
     A text longer than a container fills as many as it can and its rest is an
     item like any other; no other text is divided.  A text without tokens
     takes one place, so that every text is in a container.  Ids should be
-    unique; equal rows are packed as often as they come.
+    unique; equal rows are packed as often as they come.  Block and turn of an
+    item follow from its id, piece, size and number among equal rows, so the
+    result does not depend on the partitioning.
     """
     spark = counts.sparkSession
     scratch = Scratch(spark, "packing")
@@ -112,10 +116,11 @@ def pack_texts(counts: DataFrame, *, capacity: int = CAPACITY, block_items: int
     whole = sized.where(full > 0).select(
         "id", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"), F.lit(capacity).alias("tokens")
     ).withColumn("container_id", F.concat_ws("-", F.lit("w"), "id", "piece"))
-    items = sized.where(rest > 0).select(
-        F.monotonically_increasing_id().alias("row"), "id", full.alias("piece"), rest.cast("long").alias("size"),
-    )
-    items = scratch.write(items.withColumn("item", F.concat_ws("-", "id", "piece", "row")))
+    # equal rows are told apart by a running number, so that no number depends on where a row stands
+    rests = sized.where(rest > 0).groupBy("id", full.alias("piece"), rest.cast("long").alias("size")).agg(F.count("*").alias("n"))
+    runs = rests.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))).alias("run"))
+    copies = runs.select("id", "piece", "size", F.explode(F.sequence(F.col("run") * COPIES, F.least(F.col("n"), (F.col("run") + 1) * COPIES) - 1)).alias("copy"))
+    items = scratch.write(copies.select("id", "piece", "size", F.concat_ws("-", "id", "piece", "size", "copy").alias("item")))
     n = items.count()
     blocks = max(1, math.ceil(n / block_items))
     schema = "item string, box string, fill long"
