@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.runtime import Scratch
+
+#: Members of a class that one part pairs with all others.
+PART_ROWS = 5_000
 # Look-alike letters and the Latin letters they pass for.
 LOOKALIKES = (
     ("аеорсухіѕјһԁԛԝӏү", "aeopcyxisjhdqwly"),  # Cyrillic, small
@@ -101,30 +105,52 @@ def consistent_text(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, text_forms(F.col(column))["folded"])
 
 
-def lookalike_pairs(df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """Pairs of ids whose texts look the same but differ in their characters.
+def lookalike_members(df: DataFrame, id_col: str, column: str, scratch: Scratch) -> DataFrame:
+    """``id, text, class_id`` of the rows whose text is also written with other characters, a written table.
 
-    Returns ``left_id, right_id``, the smaller first and each pair once.
     Texts meet by their consistent form; then what a reader can see (case,
     kind and number of plain blanks) has to agree as well.  Rows with a null id
-    or text, repeated rows and equal texts give no pair.  Only distinct texts
-    are compared, so a text held by a third of all rows costs one comparison.
+    or text are left out, repeated rows count once.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(column).alias("text")).where(
-        "id is not null and text is not null"
-    ).distinct()
-    texts = rows.select("text").distinct()
-    formed = texts.select("text", text_forms("text").alias("f")).select(
-        "text", F.xxhash64("f.folded").alias("k"), F.col("f.look").alias("look")
+    rows = df.select(F.col(id_col).alias("id"), F.col(column).alias("text")).where("id is not null and text is not null").distinct()
+    formed = scratch.write(
+        rows.select("text").distinct().select("text", text_forms("text").alias("f"))
+        .select("text", F.md5(F.concat_ws("\x1e", "f.folded", "f.look").cast("binary")).alias("class_id"))
     )
-    several = formed.groupBy("k", "look").agg(F.collect_list("text").alias("texts")).where(F.size("texts") > 1)
-    # writings of one look are few: each is another distinct text with the same visible characters
-    one = several.select("k", "look", "texts", F.explode("texts").alias("a"))
-    met = one.select("a", F.explode("texts").alias("b")).where("a < b")
-    left = rows.select(F.col("id").alias("a_id"), F.col("text").alias("a"))
-    right = rows.select(F.col("id").alias("b_id"), F.col("text").alias("b"))
+    several = formed.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    return scratch.write(rows.join(formed.join(several, "class_id", "left_semi"), "text").select("id", "text", "class_id"))
+
+
+def lookalike_classes(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """``id, class_id, members, links``: one row for each id and class of texts that look the same.
+
+    ``members`` counts the ids of the class with each of their texts, ``links``
+    those whose text differs in its characters.  Nothing is paired, so a text
+    with a third of all rows stays a count.  Ids whose text is written in one
+    way only have no row.
+    """
+    members = lookalike_members(df, id_col, column, Scratch(df.sparkSession, "looks"))
+    texts = members.groupBy("class_id", "text").agg(F.count("*").alias("own"))
+    sizes = texts.groupBy("class_id").agg(F.sum("own").alias("members"))
+    return (
+        members.join(texts, ["class_id", "text"]).join(sizes, "class_id")
+        .groupBy("id", "class_id", "members").agg(F.max(F.col("members") - F.col("own")).alias("links"))
+    )
+
+
+def lookalike_pairs(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """Pairs of ids whose texts look the same but differ in their characters.
+
+    Returns ``left_id, right_id``, the smaller first and each pair once.  Null
+    ids and texts, repeated rows and equal texts give no pair.  The members of
+    a large class are paired in parts of ``PART_ROWS`` with all of the class.
+    """
+    members = lookalike_members(df, id_col, column, Scratch(df.sparkSession, "looks"))
+    parts = members.groupBy("class_id").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    sized = members.join(parts, "class_id")
+    left = sized.select("class_id", F.col("id").alias("a_id"), F.col("text").alias("a"), F.pmod(F.xxhash64("id", "text"), F.col("parts")).cast("int").alias("part"))
+    right = sized.select("class_id", F.col("id").alias("b_id"), F.col("text").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return (
-        met.join(left, "a").join(right, "b").where("a_id <> b_id")
-        .select(F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"))
-        .distinct()
+        left.join(right, ["class_id", "part"]).where("a_id < b_id and a <> b")
+        .select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id")).distinct()
     )

@@ -20,6 +20,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.lookalike_classes(table(spark, d, "listing"), "posting_id", "title").withColumnRenamed("id", "posting_id")
+
+
 def p1_consistent_titles(spark: SparkSession, d: str) -> DataFrame:
     titles = table(spark, d, "listing").select("row_number", "posting_id", "title")
     return lookalikes.consistent_text(titles, "title", "consistent_title")
@@ -121,7 +125,7 @@ def p8_spikes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_consistent_titles, p2_found, p2_entities, p3_found, p3_products, p4_found, p4_splits, p4_shares,
+    p1_found, p1_classes, p1_consistent_titles, p2_found, p2_entities, p3_found, p3_products, p4_found, p4_splits, p4_shares,
     p5_found, p5_records, p6_packed, p6_summary, p7_found, p7_rewritten, p7_items, p8_found, p8_rates, p8_spikes,
 )
 
