@@ -2,8 +2,11 @@
 
 Every word is either part of a turn of phrase or fills a slot: numbers, units
 and names become typed placeholders.  Windows of this template are joined by
-hash; then the slots decide.  Equal slots are a verbatim passage; slots that
-map one to one onto the item's are the item with other parameters.
+hash; then the slots decide.  Equal slots are a verbatim passage; they are part
+of the join key there, so that no frequent template becomes a hot key.  Slots
+that map one to one onto the item's are the item with other parameters; for
+those an amount (number and unit, however they are written) and a run of names
+are one slot each.
 """
 
 from __future__ import annotations
@@ -17,15 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.llm.bit_filter import bit_filter, passes
 from kinmatch.llm.title_fields import UNITS
 from kinmatch.runtime import Scratch
 
-#: Consecutive words that make a passage, and those of a re-parameterised one.
-PASSAGE, REWRITTEN = 12, 30
+#: Consecutive words that make a passage; template words and slots of a re-parameterised one, and template words among them.
+PASSAGE, REWRITTEN, PHRASED = 12, 24, 8
 #: A word in so many items (and this share of them) belongs to a turn of phrase.
 PHRASE_LEAST, PHRASE_SHARE = 3, 0.005
-#: Windows of the evaluation set that workers may hold as a filter (8 bytes each); beyond it all windows are joined.
-FILTER_WINDOWS = 2_000_000
 #: Characters of the texts that a task takes apart at once.
 PORTION = 4_000_000
 
@@ -69,10 +71,15 @@ def _portions(d: pd.DataFrame) -> Iterator[pd.DataFrame]:
     yield from (part for _, part in d.groupby(upto, sort=False))
 
 
-def window_reader(phrase: list[str], width: int, keep: np.ndarray | None, slots: bool) -> Callable:
-    """A function over batches ``id, text`` that yields the template windows of each text.
+def _mixed(template: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (template ^ (filled >> np.uint64(31))) * np.uint64(_STEP) + filled
+
+
+def window_reader(phrase: list[str], keep: np.ndarray | None) -> Callable:
+    """A function over batches ``id, text`` that yields the windows of ``PASSAGE`` words: ``id, template, filled``.
 
-    ``keep``: sorted template hashes, all others are passed over.
+    ``keep``: bits of the windows to look for, all others are passed over.
     """
     known = frozenset(phrase)
 
@@ -81,28 +88,62 @@ def window_reader(phrase: list[str], width: int, keep: np.ndarray | None, slots:
             lists = [words_of(t) for t in d["text"]]
             sizes = np.array([len(x) for x in lists])
             flat = [w for x in lists for w in x]
-            if len(flat) < width:
+            if len(flat) < PASSAGE:
                 continue
             codes, uniques = pd.factorize(np.array(flat, dtype=object))
-            kinds = [slot_kind(w, known) for w in uniques]
             exact = _hashed(list(uniques))
-            typed = _hashed([k or w for k, w in zip(kinds, uniques, strict=True)])
+            typed = _hashed([slot_kind(w, known) or w for w in uniques])
             owner = np.repeat(np.arange(len(lists)), sizes)
-            template = _rolled(typed[codes], width)
-            whole = owner[: len(template)] == owner[width - 1 :]
+            template, filled = _rolled(typed[codes], PASSAGE), _rolled(exact[codes], PASSAGE)
+            whole = owner[: len(template)] == owner[PASSAGE - 1 :]
+            if keep is not None:
+                whole &= passes(keep, _mixed(template, filled))
+            places = np.flatnonzero(whole)
+            yield pd.DataFrame({
+                "id": d["id"].to_numpy()[owner[places]], "template": template[places].view(np.int64), "filled": filled[places].view(np.int64),
+                "mixed": _mixed(template[places], filled[places]).view(np.int64),
+            })
+
+    return run
+
+
+def slot_reader(phrase: list[str], keep: np.ndarray | None) -> Callable:
+    """A function over batches ``id, text`` that yields windows of ``REWRITTEN`` template words and slots: ``id, template, filled, slots``.
+
+    Windows with fewer than ``PHRASED`` template words say nothing and are left out.
+    """
+    known = frozenset(phrase)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in (part for batch in batches for part in _portions(batch)):
+            lists = [words_of(t) for t in d["text"]]
+            flat = [w for x in lists for w in x]
+            if len(flat) < REWRITTEN:
+                continue
+            codes, uniques = pd.factorize(np.array(flat, dtype=object))
+            kinds = [slot_kind(w, known) for w in uniques]
+            # 0: template word, 1: amount, 2: name
+            sort_ = np.array([0 if not k else 2 if k == "<name>" else 1 for k in kinds])[codes]
+            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            follows = np.zeros(len(codes), dtype=bool)
+            follows[1:] = (sort_[1:] > 0) & (sort_[1:] == sort_[:-1]) & (owner[1:] == owner[:-1])
+            start = np.flatnonzero(~follows)
+            typed = _hashed([("<amount>" if k != "<name>" else k) if k else w for k, w in zip(kinds, uniques, strict=True)])[codes][start]
+            stop = np.append(start[1:], len(codes))
+            words = [flat[a] if b == a + 1 else " ".join(flat[a:b]) for a, b in zip(start, stop, strict=True)]
+            exact, free, owner = _hashed(words), sort_[start] > 0, owner[start]
+            if len(start) < REWRITTEN:
+                continue
+            template = _rolled(typed, REWRITTEN)
+            phrased = np.concatenate([[0], np.cumsum(~free)])
+            whole = (owner[: len(template)] == owner[REWRITTEN - 1 :]) & (phrased[REWRITTEN:] - phrased[: len(template)] >= PHRASED)
             if keep is not None:
-                at = np.minimum(np.searchsorted(keep, template), max(0, len(keep) - 1))
-                whole &= keep[at] == template if len(keep) else False
+                whole &= passes(keep, template)
             places = np.flatnonzero(whole)
-            out = {
-                "id": d["id"].to_numpy()[owner[places]],
-                "template": template[places].view(np.int64),
-                "filled": _rolled(exact[codes], width)[places].view(np.int64),
-            }
-            if slots:
-                free = np.array([bool(k) for k in kinds])[codes]
-                out["slots"] = pd.Series([[flat[j] for j in range(p, p + width) if free[j]] for p in places], dtype=object)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame({
+                "id": d["id"].to_numpy()[owner[places]], "template": template[places].view(np.int64), "filled": _rolled(exact, REWRITTEN)[places].view(np.int64),
+                "slots": pd.Series([[words[j] for j in range(p, p + REWRITTEN) if free[j]] for p in places], dtype=object),
+            })
 
     return run
 
@@ -120,24 +161,8 @@ def phrase_words(items: DataFrame, text: str) -> list[str]:
     return sorted(r["w"] for r in rows.select("w").collect())
 
 
-def template_matches(docs: DataFrame, items: DataFrame, *, doc_id: str, item_id: str, text: str, width: int, slots: bool) -> DataFrame:
-    """Windows of documents and items with one template: ``doc_id, item_id`` and the fillings of both."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "leaks")
-    phrase = phrase_words(items, text)
-    schema = "id long, template long, filled long" + ", slots array<string>" * slots
-    take = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    item_windows = scratch.write(
-        take(items, item_id).mapInPandas(window_reader(phrase, width, None, slots), schema).distinct()
-    )
-    keys = item_windows.select("template").distinct()
-    keep = None
-    if keys.count() <= FILTER_WINDOWS:
-        keep = np.sort(np.array([r["template"] for r in keys.collect()], dtype=np.int64).view(np.uint64))
-    doc_windows = take(docs, doc_id).mapInPandas(window_reader(phrase, width, keep, slots), schema)
-    left = doc_windows.withColumnsRenamed({"id": "doc_id", "filled": "doc_filled", "slots": "doc_slots"})
-    right = item_windows.withColumnsRenamed({"id": "item_id", "filled": "item_filled", "slots": "item_slots"})
-    return left.join(right, "template")
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
 
 
 def verbatim_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -147,19 +172,32 @@ def verbatim_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     nothing, texts under 12 words neither; repeated rows and passages give one
     row; whole texts are read whatever their length.
     """
-    met = template_matches(docs, items, doc_id=doc_id, item_id=item_id, text=text, width=PASSAGE, slots=False)
-    return met.where("doc_filled = item_filled").select("doc_id", "item_id").distinct()
+    scratch = Scratch(docs.sparkSession, "leaks")
+    phrase, schema = phrase_words(items, text), "id long, template long, filled long, mixed long"
+    wanted = scratch.write(_texts(items, item_id, text).mapInPandas(window_reader(phrase, None), schema).distinct())
+    keep = bit_filter(wanted, "mixed")
+    left = _texts(docs, doc_id, text).mapInPandas(window_reader(phrase, keep), schema).select(F.col("id").alias("doc_id"), "template", "filled")
+    right = wanted.select(F.col("id").alias("item_id"), "template", "filled")
+    return left.join(right, ["template", "filled"]).select("doc_id", "item_id").distinct()
 
 
 def rewritten_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """``doc_id, item_id, slots, changed``: the document holds the item with other parameters.
 
-    30 or more consecutive words have the item's template, and the words in
-    the slots map one to one onto the item's, some of them onto others.  Of
+    24 or more consecutive template words and slots are the item's, and what
+    fills the slots maps one to one onto the item's, some of it onto others.
+    An amount is one slot whether it is written "1,5 kg" or "1500g", and so is
+    a name of several words; at least 8 of the 24 are template words.  Of
     several such places the one with the fewest changes counts.  Null ids and
     texts, shorter texts and items match nothing.
     """
-    met = template_matches(docs, items, doc_id=doc_id, item_id=item_id, text=text, width=REWRITTEN, slots=True)
+    scratch = Scratch(docs.sparkSession, "leaks")
+    phrase, schema = phrase_words(items, text), "id long, template long, filled long, slots array<string>"
+    wanted = scratch.write(_texts(items, item_id, text).mapInPandas(slot_reader(phrase, None), schema).distinct())
+    found = _texts(docs, doc_id, text).mapInPandas(slot_reader(phrase, bit_filter(wanted, "template")), schema)
+    met = found.withColumnsRenamed({"id": "doc_id", "filled": "doc_filled", "slots": "doc_slots"}).join(
+        wanted.withColumnsRenamed({"id": "item_id", "filled": "item_filled", "slots": "item_slots"}), "template"
+    )
     pairs = F.arrays_zip("doc_slots", "item_slots")
     distinct = F.size(F.array_distinct(pairs))
     consistent = met.where("doc_filled <> item_filled").where(

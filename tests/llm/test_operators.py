@@ -34,7 +34,7 @@ def test_lookalikes_keep_visible_differences(spark):
     assert got == {(x, y) for x in group for y in group if x < y} | {("k", "l")}
 
 
-def test_lookalike_pairs_equal_brute_force(spark):
+def test_lookalike_pairs_equal_brute_force(spark, monkeypatch):
     r = random.Random(1)
     swap = {"a": "а", "o": "ο", "i": "і", " ": " "}
     data = []
@@ -45,7 +45,12 @@ def test_lookalike_pairs_equal_brute_force(spark):
     look = {p: "".join(plain.get(c, c) for c in t) for p, t in data}
     text = dict(data)
     want = {(x, y) for x in text for y in text if x < y and text[x] != text[y] and look[x] == look[y]}
-    assert set(rows(lookalikes.lookalike_pairs(spark.createDataFrame(data, "p string, t string"), "p", "t"))) == want
+    df = spark.createDataFrame(data, "p string, t string")
+    assert set(rows(lookalikes.lookalike_pairs(df, "p", "t"))) == want
+    monkeypatch.setattr(lookalikes, "PART_ROWS", 3)
+    assert set(rows(lookalikes.lookalike_pairs(df, "p", "t"))) == want
+    links = {r["id"]: r["links"] for r in lookalikes.lookalike_classes(df, "p", "t").collect()}
+    assert links == {x: n for x in text if (n := sum(x in pair for pair in want))}
 
 
 def test_consistent_text_folds_after_replacing(spark):
@@ -246,6 +251,9 @@ def test_packing_is_whole_and_tight(spark):
             assert sum(p[2] for p in ps) == max(1, sizes[i]) and (len(ps) == 1) == (sizes[i] <= 1024)
             assert [p[1] for p in sorted(ps)] == [1024 * k for k in range(len(ps))]
         assert sum(fill.values()) / (1024 * len(fill)) > 0.97
+    equal = spark.createDataFrame([(i % 9, 300) for i in range(900)], "id long, tokens int")
+    one, two = (packing.pack_texts(x, block_items=100) for x in (equal, equal.repartition(7)))
+    assert rows(one) == rows(two) and one.count() == 900
     assert packing.pack_texts(df.limit(0)).count() == 0
 
 
@@ -321,13 +329,20 @@ def test_verbatim_and_rewritten_leaks(spark):
     assert leakage.verbatim_leaks(df.limit(0), items).count() == 0 and leakage.verbatim_leaks(df, items.limit(0)).count() == 0
 
 
-def test_windows_without_filter_give_the_same(spark, monkeypatch):
+def test_rewritten_amounts_may_be_spelt_otherwise(spark):
     item, others = _texts()
     items = spark.createDataFrame([(1, item), (2, others[0]), (3, others[1])], "item_id long, text string")
-    docs = spark.createDataFrame([(1, item), (2, "nothing here at all")], "doc_id long, text string")
-    with_filter = rows(leakage.verbatim_leaks(docs, items))
-    monkeypatch.setattr(leakage, "FILTER_WINDOWS", 0)
-    assert rows(leakage.verbatim_leaks(docs, items)) == with_filter == [(1, 1)]
+    planted = {}
+    r = random.Random(4)
+    for i in range(40):
+        t = item.replace("9 watt", r.choice(["7watt", "1,5 kg", "200 ml", "3.5L", "12 cm"]))
+        for name in ("Fenifuvi", "Jardex", "Mapugeme", "Kiwupada", "Herozahu", "Zowovitan", "Nusovimex"):
+            if r.random() < 0.6:
+                t = t.replace(name, "Qo" + "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(3)) + r.choice(["", " Xylo"]))
+        planted[100 + i] = "Some words before. " + t + " Some words after."
+    docs = spark.createDataFrame([*planted.items(), (1, "Buyers of towels said that the seal was fine and the variant sold well in the shop on Monday morning, so name it.")], "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in leakage.rewritten_leaks(docs, items).collect()}
+    assert len({d for d, i in got if i == 1} & set(planted)) >= 0.95 * len(planted) and not [d for d, _ in got if d == 1]
 
 
 # ---- 8
