@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm.grid_components import grid_components
@@ -174,23 +174,58 @@ def held_together(components: DataFrame, component: str = "component_id", labels
     )
 
 
+def split_units(rows: DataFrame, components: DataFrame, scratch: Scratch, *, id_col: str, label: str = "label_group", targets=TARGETS) -> DataFrame:
+    """``own, unit, bin, split`` of everything that is kept whole, a written table.
+
+    ``own`` is ``g:`` and a label group of either table, or stands for a row
+    without one (``p:`` and its posting, ``r:`` and its row number); ``unit`` is
+    the first ``own`` that it is held together with.  A label group without rows
+    weighs nothing but has its place too.
+    """
+    weights = rows.groupBy(owner(id_col, label).alias("own")).agg(F.count("*").alias("weight"))
+    heads = held_together(components).select(F.concat(F.lit("g:"), "label_group").alias("own"), F.concat(F.lit("g:"), "first_label_group").alias("head"))
+    owned = scratch.write(
+        weights.join(heads, "own", "full_outer").select("own", F.coalesce("head", "own").alias("unit"), F.coalesce("weight", F.lit(0)).alias("weight"))
+    )
+    parts = balance_units(owned.groupBy("unit").agg(F.sum("weight").alias("weight")), targets=targets)
+    return scratch.write(owned.select("own", "unit").join(parts, "unit").select("own", "unit", "bin", "split"))
+
+
+def owner(id_col: str, label: str) -> Column:
+    return F.coalesce(F.concat(F.lit("g:"), F.col(label)), F.concat(F.lit("p:"), F.col(id_col)), F.concat(F.lit("r:"), F.col("row_number")))
+
+
+def split_labels(rows: DataFrame, components: DataFrame, *, id_col: str, label: str = "label_group", targets=TARGETS) -> DataFrame:
+    """``label_group, first_label_group, bin, split`` of every label group of either table."""
+    placed = split_units(rows, components, Scratch(rows.sparkSession, "units"), id_col=id_col, label=label, targets=targets)
+    return placed.where("own like 'g:%'").select(
+        F.expr("substring(own, 3)").alias("label_group"), F.expr("substring(unit, 3)").alias("first_label_group"), "bin", "split"
+    )
+
+
 def split_rows(rows: DataFrame, components: DataFrame, *, id_col: str, label: str = "label_group", targets=TARGETS) -> DataFrame:
     """Each row's ``row_number, posting_id, label_group, unit, bin, split``.
 
     A label group under no component is a unit of its own, and so is a posting
     without a label; rows with neither label nor posting id go by their row number.
     """
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "units")
-    base = rows.select(
-        F.col("row_number"), F.col(id_col).alias("posting_id"), F.col(label).alias("label_group"),
-        F.coalesce(F.concat(F.lit("g:"), F.col(label)), F.concat(F.lit("p:"), F.col(id_col)), F.concat(F.lit("r:"), F.col("row_number"))).alias("own"),
-    )
-    heads = held_together(components).select(F.concat(F.lit("g:"), "label_group").alias("own"), F.concat(F.lit("g:"), "first_label_group").alias("head"))
-    owned = scratch.write(
-        base.groupBy("own").agg(F.count("*").alias("weight")).join(heads, "own", "left")
-        .select("own", F.coalesce("head", "own").alias("unit"), "weight")
+    placed = split_units(rows, components, Scratch(rows.sparkSession, "units"), id_col=id_col, label=label, targets=targets)
+    base = rows.select(F.col("row_number"), F.col(id_col).alias("posting_id"), F.col(label).alias("label_group"), owner(id_col, label).alias("own"))
+    return base.join(placed, "own").select("row_number", "posting_id", "label_group", "unit", "bin", "split")
+
+
+def split_invariants(split: DataFrame, components: DataFrame, targets=TARGETS) -> DataFrame:
+    """One row over ``split_rows``: ``rows_split, labels_crossing, held_crossing, shares_hold``.
+
+    ``shares_hold``: no split is further from its share than the heaviest unit weighs.
+    """
+    crossing = lambda df, key: df.where(F.col(key).isNotNull()).groupBy(key).agg((F.min("split") != F.max("split")).cast("long").alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0)))
+    held = held_together(components).join(split.select("label_group", "split").distinct(), "label_group")
+    total, heaviest = split.count(), split.groupBy("unit").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    wanted = split.sparkSession.createDataFrame([(n, float(s)) for n, s in targets], "split string, share double")
+    sizes = wanted.join(split.groupBy("split").agg(F.count("*").alias("n")), "split", "left")
+    holds = sizes.agg(F.min(F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.lit(total)) <= F.lit(heaviest or 0)).alias("shares_hold"))
+    return (
+        split.agg(F.count("*").alias("rows_split")).crossJoin(crossing(split, "label_group").toDF("labels_crossing"))
+        .crossJoin(crossing(held, "first_label_group").toDF("held_crossing")).crossJoin(holds)
     )
-    parts = balance_units(owned.groupBy("unit").agg(F.sum("weight").alias("weight")), targets=targets)
-    place = owned.select("own", "unit").join(parts, "unit")
-    return base.join(place, "own").select("row_number", "posting_id", "label_group", "unit", "bin", "split")

@@ -157,3 +157,21 @@ def packing_summary(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.round(F.sum("fill") / (F.count("*") * capacity), 6).alias("fill_rate"),
         F.sum((F.col("fill") < capacity).cast("long")).alias("open_containers"),
     )
+
+
+def packing_invariants(packed: DataFrame, texts: DataFrame, id_col: str, capacity: int = CAPACITY, least_fill: float = 0.98) -> DataFrame:
+    """One row: ``texts, lost, overfull, divided, tight``.
+
+    ``texts``: rows with a text; ``lost``: those of them in no container; ``overfull``: containers
+    above the capacity; ``divided``: texts in several pieces that would have gone into one;
+    ``tight``: at least ``least_fill`` of the room is used, or one container is not full.
+    """
+    some = texts.select(F.col(id_col).alias("id")).where("id is not null")
+    lost = some.join(packed.select("id").distinct(), "id", "left_anti").agg(F.count("*").alias("lost"))
+    boxes = packed.groupBy("container_id").agg(F.sum("tokens").alias("fill")).agg(
+        F.coalesce(F.sum((F.col("fill") > capacity).cast("long")), F.lit(0)).alias("overfull"),
+        (F.sum("fill") >= least_fill * capacity * (F.count("*") - 1)).alias("tight"),
+    )
+    pieces = packed.groupBy("id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("whole")).where("pieces > 1")
+    divided = pieces.agg(F.coalesce(F.sum((F.col("whole") <= capacity).cast("long")), F.lit(0)).alias("divided"))
+    return some.agg(F.count("*").alias("texts")).crossJoin(lost).crossJoin(boxes).crossJoin(divided)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm import balanced_splits, grid_components, leakage, listing_groups, lookalikes, packing, refined_duplicates, truncation
-from kinmatch.runtime import ship, table
+from kinmatch.runtime import Scratch, ship, table
 
 #: A scored pair is a link from this probability on.
 LINK_PROBABILITY = 0.5
@@ -64,8 +64,8 @@ def p3_products(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    held = balanced_splits.held_together(table(spark, d, "split_component"))
-    return held.where("label_group <> first_label_group").select("first_label_group", "label_group")
+    placed = balanced_splits.split_labels(table(spark, d, "listing"), table(spark, d, "split_component"), id_col="posting_id")
+    return placed.where("label_group <> first_label_group and split is not null").select("first_label_group", "label_group")
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +78,11 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).select("split", "n_rows", "n_units", F.round(F.col("n_rows") / F.col("total"), 6).alias("share"))
 
 
+def p4_invariants(spark: SparkSession, d: str) -> DataFrame:
+    split = Scratch(spark, "invariants").write(p4_splits(spark, d))
+    return balanced_splits.split_invariants(split, table(spark, d, "split_component"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = refined_duplicates.refine_duplicates(table(spark, d, "listing"), "row_number", "title", "image_phash")
     return rows.where("row_id <> first_id").select(F.col("first_id").alias("first_row_number"), F.col("row_id").alias("row_number"))
@@ -98,6 +103,12 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_summary(p6_packed(spark, d))
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null")
+    packed = Scratch(spark, "invariants").write(packing.pack_texts(packing.token_counts(docs, "doc_id", "text")))
+    return packing.packing_invariants(packed, docs, "doc_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.verbatim_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -121,12 +132,13 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_spikes(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.length_spikes(truncation.text_lengths(table(spark, d, "documents").where("text is not null")))
+    texts = table(spark, d, "documents").where("text is not null").select(F.coalesce("source", F.lit("\x1f")).alias("source"), "text")
+    return truncation.length_spikes(truncation.text_lengths(texts)).withColumn("source", F.nullif("source", F.lit("\x1f")))
 
 
 _ALL = (
-    p1_found, p1_classes, p1_consistent_titles, p2_found, p2_entities, p3_found, p3_products, p4_found, p4_splits, p4_shares,
-    p5_found, p5_records, p6_packed, p6_summary, p7_found, p7_rewritten, p7_items, p8_found, p8_rates, p8_spikes,
+    p1_found, p1_classes, p1_consistent_titles, p2_found, p2_entities, p3_found, p3_products, p4_found, p4_splits, p4_shares, p4_invariants,
+    p5_found, p5_records, p6_packed, p6_summary, p6_invariants, p7_found, p7_rewritten, p7_items, p8_found, p8_rates, p8_spikes,
 )
 
 
