@@ -37,9 +37,10 @@ def unit_vector(a: Column | str) -> Column:
     """The vector at length one; null for empty, non-finite or zero vectors."""
     c = F.col(a) if isinstance(a, str) else a
     wide = F.transform(c, lambda x: x.cast("double"))
-    length = norm(wide)
     finite = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when(finite & (F.size(c) > 0) & (length > 0), F.transform(wide, lambda x: x / length))
+    # bound to a lambda's variable, the length is made once for a vector and not once for each value
+    scaled = F.transform(F.array(F.struct(wide.alias("v"), norm(wide).alias("l"))), lambda s: F.when(s["l"] > 0, F.transform(s["v"], lambda x: x / s["l"])))
+    return F.when(finite & (F.size(c) > 0), F.element_at(scaled, 1))
 
 
 def is_probability(c: Column) -> Column:

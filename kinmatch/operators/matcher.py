@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.functions.numbers import dot
 from kinmatch.operators.pairs import online_policy, reverse_ranks
 from kinmatch.operators.rankers import exact_cosine
 
@@ -23,7 +22,7 @@ def match(queries: DataFrame, catalogue: DataFrame, assignments: DataFrame, prob
     q = queries.select(F.col("id").alias("query_id"), F.col("tokens").alias("qt"))
     c = catalogue.select(F.col("id").alias("candidate_id"), F.col("v").alias("cv"), F.col("tokens").alias("ct"))
     met = top.join(q, "query_id").join(c, "candidate_id")
-    back = reverse_ranks(met.select("query_id", "candidate_id", "cv", "score"), catalogue.select("id", "v"), dot("cv", "v"))
+    back = reverse_ranks(met.select("query_id", "candidate_id", "cv", "score"), catalogue.select("id", "v"))
     conflict = ((F.size("qt") + F.size("ct")) > 0) & (F.col("qt") != F.col("ct"))
     decided = met.join(back, ["query_id", "candidate_id"]).select(
         "query_id", "candidate_id", "score", "rank", "reverse_rank", conflict.alias("variant_conflict"), probability(F.col("score")).alias("pair_probability")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions.numbers import f1, safe_divide
+from kinmatch.operators.rankers import HELD_SCORES, grid_cells
 
 PAIR = (
     "left_posting_id", "right_posting_id", "cosine_similarity", "pair_probability", "left_rank", "right_rank", "variant_conflict",
@@ -61,16 +65,35 @@ def strongest_first() -> list[Column]:
     return [F.desc("pair_probability"), F.desc("cosine_similarity"), F.asc("left_posting_id"), F.asc("right_posting_id")]
 
 
-def reverse_ranks(candidates: DataFrame, corpus: DataFrame, score: Column) -> DataFrame:
+def _closer(block: pa.Table, chunk: pa.Table) -> pa.Table:
+    """Rows of a chunk that are closer to each candidate of a block than its query is."""
+    v = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    q, c, ids = block.column("query_id").combine_chunks(), block.column("candidate_id").combine_chunks(), chunk.column("id").combine_chunks()
+    n = np.zeros(len(q), dtype=np.int64)
+    if len(q) and len(ids):
+        left, right, score = v(block, "cv"), v(chunk, "v").T, block.column("score").to_numpy()
+        own = [pc.index_in(x, ids).fill_null(-1).to_numpy() for x in (q, c)]
+        width = max(1, HELD_SCORES // len(ids))
+        for at in range(0, len(q), width):
+            s = left[at : at + width] @ right
+            for x in own:
+                there = np.flatnonzero(x[at : at + width] >= 0)
+                s[there, x[at : at + width][there]] = -np.inf
+            n[at : at + width] = (s > score[at : at + width, None]).sum(axis=1)
+    return pa.table({"query_id": q, "candidate_id": c, "n": n})
+
+
+def reverse_ranks(candidates: DataFrame, corpus: DataFrame, **grid: int) -> DataFrame:
     """One plus the corpus rows strictly closer to the candidate than the query is.
 
-    ``candidates``: ``query_id, candidate_id, cv, score``; ``corpus``: ``id, v``.
-    ``score`` compares ``cv`` with ``v``; the query's own score is the measure and
-    never counts.  The candidates are the stated set; the corpus passes by once.
+    ``candidates``: ``query_id, candidate_id, cv, score``; ``corpus``: ``id, v``,
+    all vectors at unit length.  The query's own score is the measure and never
+    counts.  The candidates are the stated set of a grid over the corpus.
     """
-    small = F.broadcast(candidates) if candidates.count() <= 10_000 else candidates
-    met = corpus.join(small, (F.col("id") != F.col("candidate_id")) & (F.col("id") != F.col("query_id")))
-    return met.groupBy("query_id", "candidate_id").agg((F.count(F.when(score > F.col("score"), 1)) + 1).alias("reverse_rank"))
+    kind = corpus.schema["id"].dataType.simpleString()
+    asked = candidates.select("query_id", "candidate_id", "cv", "score", F.xxhash64("query_id", "candidate_id").alias("id"))
+    found = grid_cells(asked, corpus.select("id", "v"), _closer, f"query_id {kind}, candidate_id {kind}, n long", **grid)
+    return found.groupBy("query_id", "candidate_id").agg((F.sum("n") + 1).alias("reverse_rank"))
 
 
 def online_policy(probability: Column, forward: Column, reverse: Column, conflict: Column, *, threshold: float, reciprocal: int, override: float) -> Column:

@@ -1,26 +1,35 @@
 """Rankings: ``query_id, candidate_id, score, rank``, by hashes, n-grams and vectors.
 
-A search takes a stated set of queries against all rows.  Dense searches go
-through the corpus in blocks: workers hold a block of queries of checked size
-and each task keeps only its best ``k`` per query before anything is shuffled.
+A search takes a stated set of queries against all rows, in a grid: queries are
+hashed into blocks and the corpus into chunks of bounded rows, each cell of
+block and chunk is scored in one vectorised step, and only the best ``k`` per
+query of a cell are shuffled.  Nothing passes through the driver.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions.numbers import unit_vector
-from kinmatch.functions.titles import word_ngrams
 
-#: Bytes of one block of queries that workers may hold.
-BLOCK_BYTES = 64 << 20
-#: Rows of an Arrow batch, the default of ``spark.sql.execution.arrow.maxRecordsPerBatch``.
-ARROW_ROWS = 10_000
+#: Queries of a block and rows of a chunk.
+BLOCK_QUERIES, CHUNK_ROWS = 4_096, 16_384
+#: Scores that a worker holds at once.
+HELD_SCORES = 4_000_000
+#: Rows below which a chunk is not worth a task.
+LEAST_ROWS = 256
+#: Share of a chunk's titles from which a gram is scored as a dense column.
+DENSE_SHARE = 0.02
 
 
 def best_first(by: list[str] | None = None) -> Window:
@@ -37,79 +46,152 @@ def vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), unit_vector(vector).alias("v")).where("id is not null and v is not null")
 
 
-def _keep_best(best: dict, i: int, s: np.ndarray, c: np.ndarray, k: int) -> None:
-    """Join new scores of query ``i`` to those kept so far; ties with the last place stay for the tie rule."""
-    if i in best:
-        s, c = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], c])
-    if len(s) > k:
-        keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-        s, c = s[keep], c[keep]
-        order = np.lexsort((c, -s))[:k]
-        s, c = s[order], c[order]
-    best[i] = (s, c)
-
-
-def _block_search(ids: np.ndarray, score: Callable[[pd.DataFrame], np.ndarray], k: int):
-    """Best ``k`` per query over the batches of a task; ``score`` gives queries x rows, -inf for no candidate."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for d in batches:
-            if d.empty:
-                continue
-            cid = d["id"].to_numpy()
-            scores = score(d)
-            for i in range(len(ids)):
-                keep = (cid != ids[i]) & (scores[i] > -np.inf)
-                _keep_best(best, i, scores[i][keep], cid[keep], k)
-        for i, (s, c) in best.items():
-            yield pd.DataFrame({"query_id": ids[i], "candidate_id": c, "score": s})
+def best_of(scores: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and score of the best ``k`` of each line, ties to the smaller of ``rows``; -inf is no candidate."""
+    n, m = scores.shape
+    least = np.partition(scores, m - k, axis=1)[:, m - k] if m > k else np.full(n, -np.inf)
+    q, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    s = scores[q, c]
+    order = np.lexsort((rows[c], -s, q))
+    q, c, s = q[order], c[order], s[order]
+    start = np.searchsorted(q, np.arange(n))
+    kept = np.arange(len(q)) - start[q] < k
+    return q[kept], c[kept], s[kept]
+
+
+def _cell(prepare: Callable, k: int):
+    """Best ``k`` of each query of a block in a chunk; ``prepare`` gives a function from a slice of queries to its scores."""
+
+    def run(block: pa.Table, chunk: pa.Table) -> pa.Table:
+        q, c = block.column("id").combine_chunks(), chunk.column("id").combine_chunks()
+        found = []
+        if len(q) and len(c):
+            rank = np.empty(len(c), dtype=np.int64)
+            rank[pc.sort_indices(c).to_numpy()] = np.arange(len(c))
+            score = prepare(block, chunk)
+            own = pc.index_in(q, c)  # a query is no candidate of its own
+            width = max(1, HELD_SCORES // len(c))
+            for at in range(0, len(q), width):
+                s = score(at, min(len(q), at + width))
+                mine = own[at : at + width]
+                there = np.flatnonzero(mine.is_valid().to_numpy(zero_copy_only=False))
+                s[there, mine.drop_null().to_numpy()] = -np.inf
+                i, j, v = best_of(s, rank, k)
+                found.append((i + at, j, v))
+        i, j, v = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0),)
+        return pa.table({"query_id": q.take(pa.array(i)), "candidate_id": c.take(pa.array(j)), "score": v})
 
     return run
 
 
-def in_blocks(queries: DataFrame, corpus: DataFrame, k: int, row_bytes: int, block_bytes: int, scorer: Callable[[pd.DataFrame], Callable]) -> DataFrame:
-    """Exact search of a stated query set: blocks of bounded size, each passing over the corpus once.
+def grid_cells(left: DataFrame, right: DataFrame, run: Callable, schema: str, *, block_queries: int | None = None, chunk_rows: int | None = None) -> DataFrame:
+    """``run(block, chunk)`` over every cell of a grid of blocks of ``left`` and chunks of ``right``, both with an ``id`` that is unique.
 
-    The corpus is spread over all cores, since the work per row is large.
+    Cells are spread over all cores, since the work per row is large.
     """
-    spark = corpus.sparkSession
+    spark = right.sparkSession
+    n, m = left.count(), right.count()
+    cores = spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // (block_queries or BLOCK_QUERIES)))
+    chunks = max(1, -(-m // (chunk_rows or CHUNK_ROWS)), min(2 * cores, m // LEAST_ROWS))
+    number = lambda of: F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    spread = lambda df: df.repartition(min(blocks * chunks, 20_000), "block", "chunk").groupBy("block", "chunk")
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])  # other columns than those of the table it may be a part of
+    one = spread(left.select("*", number(blocks).alias("block"), every(chunks).alias("chunk")))
+    two = spread(right.select("*", number(chunks).alias("chunk"), every(blocks).alias("block")))
+    return one.cogroup(two).applyInArrow(run, schema)
+
+
+def in_grid(queries: DataFrame, corpus: DataFrame, k: int, prepare: Callable, **grid: int) -> DataFrame:
+    """Exact search of a stated query set against all rows of a corpus."""
     kind = corpus.schema["id"].dataType.simpleString()
-    schema = f"query_id {kind}, candidate_id {kind}, score double"
-    n = queries.count()
-    blocks = -(-n // max(1, block_bytes // max(1, row_bytes)))
-    spread = corpus.repartition(max(spark.sparkContext.defaultParallelism, corpus.rdd.getNumPartitions()))
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        held = part.orderBy("id").toPandas()  # one block of bounded size
-        if held.empty:
-            continue
-        found = spread.mapInPandas(_block_search(held["id"].to_numpy(), scorer(held), k), schema)
-        out = found if out is None else out.unionByName(found)
-    return top_k(out if out is not None else spark.createDataFrame([], schema), k)
-
-
-def exact_cosine(queries: DataFrame, corpus: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    return top_k(grid_cells(queries, corpus, _cell(prepare, k), f"query_id {kind}, candidate_id {kind}, score double", **grid), k)
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    return t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+
+
+def _cosines(block: pa.Table, chunk: pa.Table) -> Callable:
+    q, c = _matrix(block), _matrix(chunk).T
+    return lambda a, b: q[a:b] @ c
+
+
+def _hash_shares(block: pa.Table, chunk: pa.Table) -> Callable:
+    q, c = (t.column("bits").to_numpy().view(np.uint64) for t in (block, chunk))
+    return lambda a, b: 1 - np.bitwise_count(q[a:b, None] ^ c[None, :]) / 64
+
+
+def _sparse_dots(block: pa.Table, chunk: pa.Table) -> Callable:
+    """Dot products over shared features, -inf without one: frequent features as dense columns, the others by postings."""
+
+    def taken(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f = t.column("f").combine_chunks()
+        return np.diff(f.offsets.to_numpy()), f.flatten().to_numpy().astype(np.int64), t.column("w").combine_chunks().flatten().to_numpy()
+
+    (qn, qf, qw), (cn, cf, cw) = taken(block), taken(chunk)
+    m = len(cn)
+    crow = np.repeat(np.arange(m), cn)
+    names, inverse, counts = np.unique(cf, return_inverse=True, return_counts=True)
+    many = np.flatnonzero(counts >= max(8, DENSE_SHARE * m))
+    column = np.full(len(names), -1)
+    column[many] = np.arange(len(many))
+    dense = column[inverse] >= 0
+    c_dense = np.zeros((len(many), m))
+    c_dense[column[inverse[dense]], crow[dense]] = cw[dense]
+    order = np.argsort(inverse[~dense], kind="stable")
+    feature, row, weight = inverse[~dense][order], crow[~dense][order], cw[~dense][order]
+    first = np.searchsorted(feature, np.arange(len(names) + 1))
+    place = np.minimum(np.searchsorted(names, qf), max(0, len(names) - 1))
+    known = names[place] == qf if len(names) else np.zeros(len(qf), dtype=bool)
+    offset = np.concatenate([[0], np.cumsum(qn)])
+
+    def score(a: int, b: int) -> np.ndarray:
+        part = slice(offset[a], offset[b])
+        line, f, w, ok = np.repeat(np.arange(b - a), qn[a:b]), place[part], qw[part], known[part]
+        q_dense = np.zeros((b - a, len(many)))
+        d = ok & (column[f] >= 0)
+        q_dense[line[d], column[f[d]]] = w[d]
+        out = q_dense @ c_dense  # all weights are positive, so a shared feature shows
+        rest = np.flatnonzero(ok & (column[f] < 0))
+        size = first[f[rest] + 1] - first[f[rest]]
+        for some in np.array_split(rest, max(1, int(size.sum()) // HELD_SCORES)):
+            n = first[f[some] + 1] - first[f[some]]
+            at = np.repeat(first[f[some]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            flat = np.repeat(line[some], n) * m + row[at]
+            out += np.bincount(flat, weights=weight[at] * np.repeat(w[some], n), minlength=(b - a) * m).reshape(b - a, m)
+        return np.where(out > 0, np.round(out, 9), -np.inf)
+
+    return score
+
+
+def exact_cosine(queries: DataFrame, corpus: DataFrame, k: int, **grid: int) -> DataFrame:
     """Exact best ``k`` of ``corpus`` for each row of ``queries`` (both ``id, v`` at unit length), never the row itself."""
-    first = queries.select(F.size("v").alias("n")).first()
+    return in_grid(queries.select("id", "v"), corpus.select("id", "v"), k, _cosines, **grid)
 
-    def scorer(held: pd.DataFrame) -> Callable:
-        q = np.stack(held["v"].to_numpy())
-        return lambda d: q @ np.stack(d["v"].to_numpy()).T
 
-    return in_blocks(queries, corpus, k, 8 * first["n"] if first else 8, block_bytes, scorer)
+def phash_ranking(queries: DataFrame, corpus: DataFrame, k: int, **grid: int) -> DataFrame:
+    """Best ``k`` by ``1 - distance / 64`` for ``id, bits``."""
+    return in_grid(queries.select("id", "bits"), corpus.select("id", "bits"), k, _hash_shares, **grid)
 
 
-def phash_ranking(queries: DataFrame, corpus: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Best ``k`` by ``1 - distance / 64`` for ``id, bits``."""
+def gram_reader(low: int, high: int) -> Callable[[str], Counter]:
+    """Counts of the character n-grams within the words of a text; as ``word_ngrams``, but each word is cut once."""
+
+    @lru_cache(maxsize=100_000)
+    def of_word(w: str) -> tuple[str, ...]:
+        p = f" {w} "
+        return tuple(p[i : i + n] for n in range(low, high + 1) for i in range(len(p) - n + 1))
 
-    def scorer(held: pd.DataFrame) -> Callable:
-        q = held["bits"].to_numpy()
-        return lambda d: 1 - np.bitwise_count((q[:, None] ^ d["bits"].to_numpy()[None, :]).view(np.uint64)) / 64
+    def read(text: str) -> Counter:
+        found: Counter[str] = Counter()
+        for w in text.split(" "):
+            if w:
+                found.update(of_word(w))
+        return found
 
-    # a batch makes one score for each of its rows and queries
-    return in_blocks(queries, corpus, k, 8 * ARROW_ROWS, 8 * block_bytes, scorer)
+    return read
 
 
 def fit_vocabulary(titles: DataFrame, low: int, high: int, most: int) -> DataFrame:
@@ -118,56 +200,58 @@ def fit_vocabulary(titles: DataFrame, low: int, high: int, most: int) -> DataFra
     ``titles``: ``id, norm``.  ``most`` bounds the vocabulary; the weights are
     counted over all titles: ``idf = ln((1 + N) / (1 + df)) + 1``.
     """
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = gram_reader(low, high)
+        for d in batches:
+            total: Counter[str] = Counter()
+            for t in d["norm"]:
+                total.update(read(t).keys())
+            yield pd.DataFrame({"gram": list(total), "df": list(total.values())}).astype({"gram": "object", "df": "int64"})
+
     n = titles.agg(F.count("*").alias("n_titles"))
-    grams = titles.select(F.explode(F.array_distinct(word_ngrams("norm", low, high))).alias("gram"))
-    kept = grams.groupBy("gram").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "gram").limit(most)
+    grams = titles.select("norm").mapInPandas(counts, "gram string, df long")
+    kept = grams.groupBy("gram").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "gram").limit(most)
     numbered = kept.withColumn("feature_id", F.row_number().over(Window.orderBy("gram")) - 1)  # at most ``most`` rows
     return numbered.crossJoin(F.broadcast(n)).select("gram", "df", "feature_id", (F.log((1 + F.col("n_titles")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def sparse_titles(titles: DataFrame, vocabulary: DataFrame, low: int, high: int) -> DataFrame:
+    """``id, f, w``: features in order and weights ``(1 + ln tf) * idf`` at unit length, for titles with any feature.
+
+    The vocabulary has as many rows as its parameter ``most`` allows, so
+    workers hold it and no gram is shuffled.
+    """
+    held = {r["gram"]: (r["feature_id"], r["idf"]) for r in vocabulary.select("gram", "feature_id", "idf").collect()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = gram_reader(low, high)
+        for d in batches:
+            rows = []
+            for i, t in zip(d["id"], d["norm"], strict=True):
+                got = sorted((held[g][0], (1 + math.log(n)) * held[g][1]) for g, n in read(t).items() if g in held)
+                if got:
+                    f, w = zip(*got, strict=True)
+                    w = np.array(w)
+                    rows.append((i, np.array(f, dtype=np.int32), w / math.sqrt(float(w @ w))))
+            yield pd.DataFrame(rows, columns=["id", "f", "w"])
+
+    return titles.select("id", "norm").mapInPandas(run, f"id {titles.schema['id'].dataType.simpleString()}, f array<int>, w array<double>")
+
+
 def tfidf_vectors(titles: DataFrame, vocabulary: DataFrame, low: int, high: int) -> DataFrame:
-    """``id, feature_id, weight``: ``(1 + ln tf) * idf`` at unit length per title."""
-    grams = titles.select("id", F.explode(word_ngrams("norm", low, high)).alias("gram"))
-    counted = grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    raw = counted.join(vocabulary, "gram").select("id", "feature_id", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    lengths = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return raw.join(lengths, "id").select("id", "feature_id", (F.col("w") / F.col("length")).alias("weight"))
+    """``id, feature_id, weight`` of ``sparse_titles``, one row for each feature."""
+    z = F.explode(F.arrays_zip("f", "w"))
+    return sparse_titles(titles, vocabulary, low, high).select("id", z.alias("z")).select("id", F.col("z.f").alias("feature_id"), F.col("z.w").alias("weight"))
 
 
-def tfidf_ranking(queries: DataFrame, all_: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Best ``k`` by sparse dot product over an inverted index; only pairs that share a gram are candidates.
+def tfidf_ranking(queries: DataFrame, rows: DataFrame, k: int, **grid: int) -> DataFrame:
+    """Best ``k`` by sparse dot product of ``id, f, w``; only pairs that share a gram are candidates.
 
-    ``queries, all_``: ``id, feature_id, weight``.  A task inverts its batch of
-    titles and walks the postings of each query's features.  Scores are rounded
-    to nine places, so that the order of summing cannot decide between equal ones.
+    Scores are rounded to nine places, so that the order of summing cannot
+    decide between equal ones.
     """
-    one = F.array_sort(F.collect_list(F.struct("feature_id", "weight")))  # as long as a title has n-grams
-    listed = lambda df: df.groupBy("id").agg(one.alias("x")).select("id", F.col("x.feature_id").alias("f"), F.col("x.weight").alias("w"))
-
-    def scorer(held: pd.DataFrame) -> Callable:
-        qf, qw = [np.asarray(x) for x in held["f"]], [np.asarray(x) for x in held["w"]]
-
-        def score(d: pd.DataFrame) -> np.ndarray:
-            sizes = d["f"].map(len).to_numpy()
-            feature, weight = np.concatenate(d["f"].to_numpy()), np.concatenate(d["w"].to_numpy())
-            row = np.repeat(np.arange(len(d)), sizes)
-            order = np.argsort(feature, kind="stable")
-            feature, weight, row = feature[order], weight[order], row[order]
-            out = np.full((len(qf), len(d)), -np.inf)
-            for i, (f, w) in enumerate(zip(qf, qw, strict=True)):
-                a, b = np.searchsorted(feature, f, "left"), np.searchsorted(feature, f, "right")
-                n = b - a
-                if not n.sum():
-                    continue
-                at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                s = np.bincount(row[at], weights=weight[at] * np.repeat(w, n), minlength=len(d))
-                met = np.bincount(row[at], minlength=len(d)) > 0
-                out[i, met] = np.round(s[met], 9)
-            return out
-
-        return score
-
-    return in_blocks(listed(queries), listed(all_), k, 8 * ARROW_ROWS, 8 * block_bytes, scorer)
+    return in_grid(queries.select("id", "f", "w"), rows.select("id", "f", "w"), k, _sparse_dots, **grid)
 
 
 def padded(ranking: DataFrame, queries: DataFrame, ids: DataFrame, k: int) -> DataFrame:

@@ -39,7 +39,8 @@ def row_batches(rows: DataFrame, *, size: int, seed: int) -> DataFrame:
     by = Window.partitionBy("label")
     place = F.row_number().over(by.orderBy(stable_order(seed, "id"), "id")) - 1
     pair = F.greatest(F.lit(0), F.least(F.floor(place / 2), F.floor(F.count("*").over(by) / 2) - 1))
-    return own.withColumn("_pair", pair).withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), "label", "_pair"), F.lit(n)).cast("int")).drop("_pair")
+    digest = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("label").cast("string"), pair.cast("bigint").cast("string")), 256), 1, 8), 16, 10)
+    return own.withColumn("batch", F.pmod(digest.cast("long"), F.lit(n)).cast("int"))
 
 
 def balanced_batches(rows: DataFrame, *, ratio: int, seed: int) -> DataFrame:

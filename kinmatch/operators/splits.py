@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +16,6 @@ from kinmatch.runtime import Scratch
 
 #: Edges of a whole graph that one task may take.
 FINISH_EDGES = 300_000
-#: Label groups that are listed at once to make a component's identifier.
-LISTED_LABELS = 100_000
-#: Steps of the sequential assignment; with more components those of one weight and band go in chunks.
-FOLD_STEPS = 100_000
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 
 
@@ -73,6 +73,23 @@ def star_components(edges: DataFrame, *, finish_edges: int | None = None) -> Dat
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _label_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of the labels of each root, one to a line; a root may go on in the next batch."""
+    root, digest = None, None
+    for d in batches:
+        done = []
+        for r, label in zip(d["root"], d["label"], strict=True):
+            if r != root:
+                if digest:
+                    done.append((root, digest.hexdigest()))
+                root, digest = r, hashlib.sha256(label.encode())
+            else:
+                digest.update(b"\n" + label.encode())
+        yield pd.DataFrame(done, columns=["root", "digest"], dtype=object)
+    if digest:
+        yield pd.DataFrame([(root, digest.hexdigest())], columns=["root", "digest"])
+
+
 def label_components(rows: DataFrame, links: dict[str, Column], label: str = "label_group") -> DataFrame:
     """``label_group, component_id, component_rows, size_band``: label groups joined by shared values.
 
@@ -90,71 +107,47 @@ def label_components(rows: DataFrame, links: dict[str, Column], label: str = "la
     counted = joined.groupBy("root").agg(
         F.count("*").alias("labels"), F.sum("n").alias("component_rows"), group_size_band(F.max("n")).alias("size_band")
     )
-    # a component of many label groups is digested in parts, so that no list grows with it
-    part = F.when(F.col("labels") > LISTED_LABELS, F.pmod(F.xxhash64(label), F.ceil(F.col("labels") / LISTED_LABELS))).otherwise(0)
-    parts = joined.join(counted.select("root", "labels"), "root").groupBy("root", part.alias("part")).agg(
-        F.array_join(F.array_sort(F.collect_set(label)), "\n").alias("material")
-    )
-    digests = parts.groupBy("root").agg(
-        F.when(F.count("*") == 1, F.sha2(F.max("material"), 256))
-        .otherwise(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("material", 256))), "\n"), 256)).alias("digest")
-    )
+    # rows of a root stand together in order and stream through a digest, so that no list grows with a component
+    ordered = joined.select("root", F.col(label).alias("label")).repartition("root").sortWithinPartitions("root", "label")
+    digests = ordered.mapInPandas(_label_digests, "root string, digest string")
     heads = counted.join(digests, "root").select("root", "component_rows", "size_band", F.concat(F.lit("component_"), F.substring("digest", 1, 16)).alias("component_id"))
     return joined.join(heads, "root").select(label, "component_id", "component_rows", "size_band")
 
 
+def _least_loaded(total: float, in_band: dict[str, float], splits: tuple):
+    """Streams through components in order and holds the loads of the splits only."""
+    share = [f for _, f in splits]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [0.0] * len(splits)
+        bands = {b: [0.0] * len(splits) for b in in_band}
+        for d in batches:
+            picks = []
+            for w, band in zip(d["w"], d["size_band"], strict=True):
+                held, most = bands[band], in_band[band]
+                cost = [0.7 * rows[i] / (total * f) + 0.3 * held[i] / max(most * f, 1e-12) for i, f in enumerate(share)]
+                i = cost.index(min(cost))
+                rows[i] += w
+                held[i] += 1.0
+                picks.append(splits[i][0])
+            yield pd.DataFrame({"component_id": d["component_id"], "split": picks})
+
+    return run
+
+
 def assign_splits(components: DataFrame, *, seed: int = 2026, splits=SPLITS) -> DataFrame:
     """``component_id, split``: heaviest first, each to the split with the least load.
 
     Load is 0.7 of the row share plus 0.3 of the share of its size band, ties go
-    to the earlier split.  The rule is sequential, so its input is bounded:
-    beyond ``FOLD_STEPS`` components those of one weight and band, which differ
-    in nothing the rule looks at, are taken in chunks chosen by hash.
+    to the earlier split.  The rule is sequential by definition: an external
+    sort puts the components in order, then one task streams through them and
+    holds nothing but the loads, so the rule is the same at every size.
     """
     one = components.select("component_id", F.col("component_rows").cast("double").alias("w"), "size_band").distinct()
-    n = one.count()
-    if n > FOLD_STEPS:
-        classes = one.select("w", "size_band").distinct().count()
-        chunk = F.pmod(F.xxhash64("component_id"), F.lit(max(1, FOLD_STEPS // classes))).cast("string")
-    else:
-        chunk = F.col("component_id")
-    one = one.select("*", chunk.alias("chunk"))
-    steps = one.groupBy("w", "size_band", "chunk").agg(F.count("*").cast("double").alias("n"))
-    bands = ["2", "3_to_5", "6_to_9", "10_plus"]
-    names = F.array(*[F.lit(s) for s, _ in splits])
-    k = len(splits)
-    band_no = F.array_position(F.array(*[F.lit(b) for b in bands]), F.col("size_band")).cast("int") - 1
-    order = F.struct((-F.col("w")).alias("o"), stable_order(seed, "chunk").alias("h"), "chunk", "size_band", "w", (F.col("w") * F.col("n")).alias("rows_"), "n", band_no.alias("band"))
-    totals = steps.agg(F.sum(F.col("w") * F.col("n")).alias("rows"), *[F.sum(F.when(F.col("size_band") == b, F.col("n")).otherwise(0.0)).alias(f"b{i}") for i, b in enumerate(bands)])
-    folded = steps.agg(F.array_sort(F.collect_list(order)).alias("items")).crossJoin(F.broadcast(totals))
-    zero = F.struct(F.array_repeat(F.lit(0.0), k).alias("rows_"), F.array_repeat(F.lit(0.0), k * len(bands)).alias("bands_"), F.array().cast("array<int>").alias("picks"))
-    band_totals = F.array(*[F.col(f"b{i}") for i in range(len(bands))])
-    share = F.array(*[F.lit(f) for _, f in splits])
-
-    def step(acc: Column, x: Column) -> Column:
-        cost = F.transform(
-            F.sequence(F.lit(0), F.lit(k - 1)),
-            lambda i: F.struct(
-                (
-                    0.7 * acc["rows_"][i] / (F.col("rows") * share[i])
-                    + 0.3 * acc["bands_"][x["band"] * k + i] / F.greatest(band_totals[x["band"]] * share[i], F.lit(1e-12))
-                ).alias("c"),
-                i.alias("i"),
-            ),
-        )
-        pick = F.array_min(cost)["i"]
-        return F.struct(
-            F.transform(acc["rows_"], lambda v, i: F.when(i == pick, v + x["rows_"]).otherwise(v)).alias("rows_"),
-            F.transform(acc["bands_"], lambda v, i: F.when(i == x["band"] * k + pick, v + x["n"]).otherwise(v)).alias("bands_"),
-            F.concat(acc["picks"], F.array(pick)).alias("picks"),
-        )
-
-    done = folded.select("items", F.aggregate("items", zero, step)["picks"].alias("picks"))
-    picked = done.select(F.explode(F.arrays_zip("items", "picks")).alias("z")).select(
-        F.col("z.items.w").alias("w"), F.col("z.items.size_band").alias("size_band"), F.col("z.items.chunk").alias("chunk"),
-        F.element_at(names, F.col("z.picks") + 1).alias("split"),
-    )
-    return one.join(picked, ["w", "size_band", "chunk"]).select("component_id", "split")
+    totals = {r["size_band"]: (r["n"], r["w"]) for r in one.groupBy("size_band").agg(F.count("*").cast("double").alias("n"), F.sum("w").alias("w")).collect()}  # four bands
+    ordered = one.withColumn("h", stable_order(seed, "component_id")).repartition(1).sortWithinPartitions(F.desc("w"), "h", "component_id").select("component_id", "w", "size_band")
+    loads = _least_loaded(sum(w for _, w in totals.values()), {b: n for b, (n, _) in totals.items()}, splits)
+    return ordered.mapInPandas(loads, "component_id string, split string")
 
 
 def split_integrity(rows: DataFrame, keys: dict[str, Column], split: str = "split") -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.functions.hashes import phash_bits
-from kinmatch.functions.titles import plain_title
+from kinmatch.functions.titles import feature_title
 from kinmatch.operators.rankers import vectors
-from kinmatch.runtime import table
+from kinmatch.runtime import spread, table
 
 #: Searches take every row whose id this number divides as a query, against all rows.
 QUERY_EVERY = 20
@@ -38,12 +38,13 @@ def embedded_halves(spark: SparkSession, d: str) -> DataFrame:
 
 def titled(spark: SparkSession, d: str) -> DataFrame:
     """``id, norm`` of the listings with a title."""
-    return table(spark, d, "listing").where("title is not null").select(F.col("row_number").alias("id"), plain_title("title").alias("norm"))
+    rows = table(spark, d, "listing").where("title is not null").select(F.col("row_number").alias("id"), "title")
+    return spread(rows, "id").select("id", feature_title("title").alias("norm"))
 
 
 def hashed(spark: SparkSession, d: str) -> DataFrame:
     """``id, bits`` of the listings with a plain 64-bit hash."""
-    return table(spark, d, "listing").select(F.col("row_number").alias("id"), phash_bits("image_phash").alias("bits")).where("bits is not null")
+    return spread(table(spark, d, "listing").select("row_number", "image_phash"), "row_number").select(F.col("row_number").alias("id"), phash_bits("image_phash").alias("bits")).where("bits is not null")
 
 
 def listing_labels(spark: SparkSession, d: str) -> DataFrame:

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from kinmatch.functions.titles import DIGITS, IDENTITY
+from kinmatch.functions.titles import DIGITS, IDENTITY, WHOLE_UNITS
 
-_PLAIN = r"trim(regexp_replace(replace(lower({t}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+# compatibility forms of the tables' titles: full-width signs, letters and digits; blanks are collapsed anyway
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_CHEROKEE = "".join(map(chr, range(0xAB70, 0xABC0))), "".join(map(chr, range(0x13A0, 0x13F0)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
 _TOKENS = f"list_sort(list_distinct(regexp_extract_all({{n}}, '{IDENTITY}')))"
 
 
+def _compatible(t: str) -> str:
+    return f"nfc_normalize(replace(replace(translate({t}, '{_WIDE}', '{_NARROW}'), chr(64257), 'fi'), chr(64258), 'fl'))"
+
+
 def plain(t: str) -> str:
-    return _PLAIN.format(t=t)
+    one = f"nfc_normalize(lower({_compatible(t)}))"
+    one = f"translate({one}, '{_CHEROKEE[0]}', '{_CHEROKEE[1]}')"  # folds to its capitals
+    return rf"trim(regexp_replace(replace({one}, 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 
 
 def tokens(n: str) -> str:
@@ -70,7 +79,7 @@ def _per_query(name: str, judged: str, ks: list[int], ap: int) -> str:
 
 
 _J = f"{_VEC}, {_search('r', 'u', 20)}, {_judged('j', 'r')}"
-_TOTAL = "(SELECT sum(n * (n - 1))::BIGINT FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label))"
+_TOTAL = "(SELECT sum(p)::BIGINT FROM (SELECT any_value(positives) AS p FROM j GROUP BY query_id))"
 
 
 def _rates(tp: str, fp: str, total: str) -> str:
@@ -78,10 +87,13 @@ def _rates(tp: str, fp: str, total: str) -> str:
     return f"{p} AS precision, {r} AS recall, CASE WHEN {p} + {r} = 0 THEN 0 ELSE 2 * {p} * {r} / ({p} + {r}) END AS f1, {tp} AS true_positive, {fp} AS false_positive, {total} - {tp} AS false_negative"
 
 
-_POINTS = f"""{_J},
-  b AS (SELECT score, sum(hit)::BIGINT AS tp, sum(1 - hit)::BIGINT AS fp FROM j GROUP BY score),
+def _points(judged: str, total: str) -> str:
+    return f"""b AS (SELECT score, sum(hit)::BIGINT AS tp, sum(1 - hit)::BIGINT AS fp FROM {judged} GROUP BY score),
   c AS (SELECT score, sum(tp) OVER (ORDER BY score DESC)::BIGINT AS tp, sum(fp) OVER (ORDER BY score DESC)::BIGINT AS fp FROM b),
-  points AS (SELECT score AS threshold, {_rates('tp', 'fp', _TOTAL)} FROM c)"""
+  points AS (SELECT score AS threshold, {_rates('tp', 'fp', total)} FROM c)"""
+
+
+_POINTS = f"{_J}, {_points('j', _TOTAL)}"
 _SIX = "round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, true_positive, false_positive, false_negative"
 
 _TITLES = f"t AS (SELECT row_number AS id, {plain('title')} AS norm FROM listing WHERE title IS NOT NULL)"
@@ -101,7 +113,7 @@ def _vocabulary(most: int) -> str:
   vocab AS (SELECT gram, df, row_number() OVER (ORDER BY gram) - 1 AS feature_id, ln((1 + (SELECT count(*) FROM t)) / (1 + df)::DOUBLE) + 1 AS idf FROM df)"""
 
 
-_TFIDF = f"""WITH {_grams(3, 4)}, {_vocabulary(20_000)},
+_TFIDF = f"""WITH {_grams(2, 5)}, {_vocabulary(100_000)},
   tf AS (SELECT id, feature_id, (1 + ln(count(*))) * any_value(idf) AS w FROM g JOIN vocab USING (gram) GROUP BY id, feature_id),
   ln_ AS (SELECT id, sqrt(sum(w * w)) AS l FROM tf GROUP BY id),
   x AS (SELECT id, feature_id, w / l AS weight FROM tf JOIN ln_ USING (id))"""
@@ -165,6 +177,12 @@ _MINE = f"""
 _MINED = "left_posting_id, right_posting_id, left_label_group, right_label_group, round(cosine_similarity, 6) AS cosine_similarity, round(pair_probability, 6) AS pair_probability, variant_conflict"
 
 
+def _batches(own: str) -> str:
+    """Rows ``id, label`` in batches of about 256, two of a label together."""
+    return f"""pl AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('7:' || id), id) - 1 AS place, count(*) OVER (PARTITION BY label) AS m FROM {own} WHERE id IS NOT NULL AND label IS NOT NULL),
+  rb AS (SELECT id, label, (('0x' || substr(sha256('7:' || label || ':' || greatest(0, least(place // 2, m // 2 - 1))), 1, 8))::BIGINT % greatest(1, (SELECT ceil(count(*) / 256.0)::BIGINT FROM pl)))::INT AS batch FROM pl)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     ranked = "query_id, candidate_id, round(score, 6) AS score, rank"
@@ -188,20 +206,20 @@ def oracle_sql() -> dict[str, str]:
   SELECT x.h AS left_phash, y.h AS right_phash, bit_count(xor(x.b, y.b)) AS distance FROM b x JOIN b y ON x.h < y.h
   WHERE bit_count(xor(x.b, y.b)) <= 8 AND least(x.lo, y.lo) <> greatest(x.hi, y.hi)"""
     out["char_ngrams"] = f"""WITH {_grams(2, 5)} SELECT t.id AS row_number, count(gram) AS n_grams, count(DISTINCT gram) AS n_distinct FROM t LEFT JOIN g ON t.id = g.id GROUP BY t.id"""
-    out["tfidf_vocabulary"] = f"WITH {_grams(2, 5)}, {_vocabulary(5_000)} SELECT gram, df, feature_id, round(idf, 6) AS idf FROM vocab"
+    out["tfidf_vocabulary"] = f"WITH {_grams(2, 5)}, {_vocabulary(100_000)} SELECT gram, df, feature_id, round(idf, 6) AS idf FROM vocab"
     out["tfidf_weights"] = f"{_TFIDF} SELECT id, count(*) AS features, round(sum(weight), 6) AS total, round(max(weight), 6) AS largest FROM x GROUP BY id"
 
     title_topk = f"""{_TFIDF},
   sc AS (SELECT a.id AS query_id, b.id AS candidate_id, round(sum(a.weight * b.weight), 9) AS score FROM x a JOIN x b ON a.feature_id = b.feature_id AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY 1, 2),
-  pool AS (SELECT id FROM t ORDER BY id LIMIT 41),
+  pool AS (SELECT id FROM t ORDER BY id LIMIT 201),
   al AS (SELECT * FROM sc UNION ALL SELECT q.id, p.id, 0 FROM t q JOIN pool p ON q.id <> p.id WHERE q.id % 20 = 0 AND (q.id, p.id) NOT IN (SELECT (query_id, candidate_id) FROM sc)),
-  tk AS (SELECT query_id, candidate_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM al QUALIFY rank <= 20)"""
+  tk AS (SELECT query_id, candidate_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM al QUALIFY rank <= 100)"""
     out["tfidf_topk"] = f"{title_topk} SELECT {ranked} FROM tk"
     title_queries = f"""{title_topk},
   em AS (SELECT row_number AS id, label_group AS label FROM listing WHERE label_group IS NOT NULL AND title IS NOT NULL),
   sz AS (SELECT label, count(*) AS n FROM em GROUP BY label),
   jt AS (SELECT tk.query_id, tk.rank, q.label, coalesce((q.label = c.label)::INT, 0) AS hit, s.n - 1 AS positives, s.n AS size
-         FROM tk JOIN em q ON query_id = q.id LEFT JOIN em c ON candidate_id = c.id JOIN sz s ON q.label = s.label WHERE s.n > 1),
+         FROM tk JOIN em q ON query_id = q.id LEFT JOIN em c ON candidate_id = c.id JOIN sz s ON q.label = s.label WHERE s.n > 1 AND tk.rank <= 20),
   hc AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM jt),
   pt AS (SELECT query_id, label, any_value(size) AS size, sum(CASE WHEN hit = 1 THEN hits / rank::DOUBLE ELSE 0 END) / least(any_value(positives), 20) AS ap,
          (sum(hit) > 0)::INT AS hr, sum(hit) / any_value(positives)::DOUBLE AS rc, sum(hit) / least(20, (SELECT count(*) FROM listing) - 1)::DOUBLE AS pc FROM hc GROUP BY query_id, label),
@@ -225,7 +243,7 @@ def oracle_sql() -> dict[str, str]:
     )
     pq = ", ".join(_per_query(f"p{k}", "j", [k], k) for k in ks)
     out["retrieval_curve"] = f"{_J}, {pq} {curve}"
-    out["select_candidate_k"] = f"{_J}, {pq}, c AS ({curve}) SELECT coalesce(min(CASE WHEN recall >= 0.02 THEN k END), max(k)) AS selected_k FROM c"
+    out["select_candidate_k"] = f"{_J}, {pq}, c AS ({curve}) SELECT coalesce(min(CASE WHEN recall >= 0.95 THEN k END), max(k)) AS selected_k FROM c"
     out["best_positive"] = f"{_J} SELECT query_id, coalesce(min(CASE WHEN hit = 1 THEN rank END), 0) AS best_rank, round(coalesce(max(CASE WHEN hit = 1 THEN score END), 0), 6) AS best_score, round(max(score), 6) AS top_score FROM j GROUP BY query_id"
     out["review_examples"] = f"""{_J}, b AS (SELECT query_id, min(CASE WHEN hit = 1 THEN rank END) AS best_rank FROM j GROUP BY query_id),
   k AS (SELECT *, CASE WHEN best_rank = 1 THEN 'top1_success' WHEN best_rank IS NULL THEN 'retrieval_miss' ELSE 'top1_false_match' END AS bucket FROM b)
@@ -235,7 +253,8 @@ def oracle_sql() -> dict[str, str]:
   o AS (SELECT threshold, {_rates('tp', 'fp', _TOTAL)} FROM s) SELECT {_SIX} FROM o"""
     del at
     out["select_threshold"] = f"{_POINTS} SELECT {_SIX} FROM (SELECT * FROM points ORDER BY points.f1 DESC, points.precision DESC, points.threshold DESC LIMIT 1)"
-    out["precision_at_recall"] = f"{_POINTS} SELECT {_SIX} FROM (SELECT * FROM points WHERE recall >= 0.0001 ORDER BY points.precision DESC, points.threshold DESC LIMIT 1)"
+    out["precision_at_recall"] = f"""WITH {_PAIRS}, {_LABELS}, {_LABELLED.format(p='up')}, j AS (SELECT pair_probability AS score, y AS hit FROM lp), {_points('j', '(SELECT sum(hit)::BIGINT FROM j)')}
+  SELECT {_SIX} FROM (SELECT * FROM points WHERE recall >= 0.8 ORDER BY points.precision DESC, points.threshold DESC LIMIT 1)"""
     out["threshold_curve"] = f"""{_J}, s AS (SELECT i, coalesce(sum(hit) FILTER (score >= i / 40.0::DOUBLE), 0)::BIGINT AS tp, coalesce(sum(1 - hit) FILTER (score >= i / 40.0::DOUBLE), 0)::BIGINT AS fp
       FROM j CROSS JOIN (SELECT unnest(range(0, 41)) AS i) GROUP BY i),
   o AS (SELECT i / 40.0::DOUBLE AS threshold, {_rates('tp', 'fp', _TOTAL)} FROM s) SELECT {_SIX} FROM o"""
@@ -258,17 +277,18 @@ def oracle_sql() -> dict[str, str]:
          coalesce(min(CASE WHEN query_id < candidate_id THEN rank END), 21) AS left_rank, coalesce(min(CASE WHEN query_id > candidate_id THEN rank END), 21) AS right_rank FROM r GROUP BY 1, 2"""
     out["reverse_rank"] = f"""{_VEC}, {_search('r', 'u', 5)} SELECT query_id, candidate_id, 1 + count(*) FILTER (list_inner_product(c.v, x.v) > score) AS reverse_rank
   FROM r JOIN u c ON candidate_id = c.id JOIN u x ON x.id <> candidate_id GROUP BY query_id, candidate_id"""
-    out["contrastive_loss"] = f"""{_VEC}, b AS (SELECT id, label, v FROM u JOIN em USING (id) WHERE id < 200),
-  p AS (SELECT x.id, x.label = y.label AS same, list_inner_product(x.v, y.v) / 0.1 AS z FROM b x JOIN b y ON x.id <> y.id),
-  s AS (SELECT id, max(z) AS m FROM p GROUP BY id),
-  o AS (SELECT p.id, ln(sum(exp(z - m))) AS lse, sum(CASE WHEN same THEN z - m ELSE 0 END) AS g, sum(same::INT) AS n FROM p JOIN s ON p.id = s.id GROUP BY p.id)
-  SELECT round(avg(-(g / n - lse)), 6) AS loss FROM o"""
+    out["contrastive_loss"] = f"""{_VEC}, own AS (SELECT id, label::VARCHAR AS label FROM em), {_batches('own')},
+  b AS (SELECT rb.*, u.v FROM rb JOIN u USING (id)),
+  p AS (SELECT x.batch, x.id, x.label = y.label AS same, list_inner_product(x.v, y.v) / 0.1 AS z FROM b x JOIN b y ON x.batch = y.batch AND x.id <> y.id),
+  s AS (SELECT batch, id, max(z) AS m FROM p GROUP BY ALL),
+  o AS (SELECT p.batch, p.id, ln(sum(exp(z - m))) AS lse, sum(CASE WHEN same THEN z - m ELSE 0 END) AS g, sum(same::INT) AS n FROM p JOIN s ON p.id = s.id AND p.batch = s.batch GROUP BY p.batch, p.id)
+  SELECT round(avg(loss), 6) AS loss FROM (SELECT batch, avg(-(g / n - lse)) AS loss FROM o GROUP BY batch)"""
 
     # audit
     out["duplicate_audit"] = """
   SELECT 'posting_id' AS kind, sum(n - 1)::BIGINT AS duplicates FROM (SELECT count(*) AS n FROM listing GROUP BY posting_id)
   UNION ALL SELECT 'row', sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM listing GROUP BY posting_id, image, image_phash, title, label_group)"""
-    audit_title = r"trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+    audit_title = f"trim(regexp_replace(replace(nfc_normalize(lower({_compatible('title')})), 'ß', 'ss'), '[\\s\\p{{Z}}\\x{{85}}]+', ' ', 'g'))"
     keys = {"image": "image", "sha256": "sha256", "image_phash": "lower(image_phash)", "title": audit_title}
     union = " UNION ALL ".join(f"SELECT '{k}' AS bucket, {c} AS value, label_group FROM tr WHERE label_group IS NOT NULL" for k, c in keys.items())
     out["cross_label_buckets"] = f"""WITH {_IMAGES}, k AS ({union}), v AS (SELECT bucket, value, count(DISTINCT label_group) AS l, count(*) AS n FROM k WHERE value IS NOT NULL GROUP BY 1, 2)
@@ -399,12 +419,26 @@ def oracle_sql() -> dict[str, str]:
   m AS (SELECT c.batch, c.label, o.id, c.n, row_number() OVER (PARTITION BY c.batch, c.label ORDER BY sha256('7:' || c.batch || ':' || o.id), o.id) - 1 AS r FROM o JOIN c ON o.label = c.label),
   pb AS (SELECT m.batch, m.label, m.id, z.slot FROM m JOIN (SELECT unnest(range(0, 3)) AS slot) z ON m.r = z.slot % least(n, 3))"""
     out["product_batches"] = f"{products} SELECT batch::INT AS batch, label, id, slot::INT AS slot FROM pb"
-    out["balanced_pairs"] = f"""{products}, b AS (SELECT DISTINCT id, label FROM pb WHERE batch = 0),
-  p AS (SELECT x.id AS left_id, y.id AS right_id, x.label = y.label AS positive FROM b x JOIN b y ON x.id < y.id)
-  SELECT left_id, right_id, positive FROM p QUALIFY positive OR row_number() OVER (PARTITION BY positive ORDER BY sha256('7:' || left_id || ':' || right_id), left_id, right_id) <= 2 * (SELECT count(*) FROM p WHERE positive)"""
+    out["balanced_pairs"] = f"""WITH own AS (SELECT posting_id AS id, min(label_group) AS label FROM train WHERE label_group IS NOT NULL GROUP BY posting_id), {_batches('own')},
+  p AS (SELECT x.batch, x.id AS left_id, y.id AS right_id, x.label = y.label AS positive FROM rb x JOIN rb y ON x.batch = y.batch AND x.id < y.id)
+  SELECT batch, left_id, right_id, positive FROM p
+  QUALIFY positive OR row_number() OVER (PARTITION BY batch, positive ORDER BY sha256('7:' || left_id || ':' || right_id), left_id, right_id) <= 2 * sum(positive::INT) OVER (PARTITION BY batch)"""
     out["collision_samples"] = """
   SELECT image AS value, count(DISTINCT label_group) AS labels, min(label_group) AS low_label, max(label_group) AS high_label FROM train WHERE image IS NOT NULL AND label_group IS NOT NULL
   GROUP BY image HAVING count(DISTINCT label_group) > 1 ORDER BY sha256('7:' || image) LIMIT 20"""
     out["streamed_arrivals"] = "SELECT strftime(date_trunc('day', ingested_at), '%Y-%m-%d') AS day, count(*) AS listings FROM listing GROUP BY 1"
     out.pop("digit_unit_digits")
+    out["digit_unit_tokens"] = f"""WITH {_TITLES} SELECT id AS row_number, array_to_string(regexp_extract_all(norm, '{DIGITS}'), '|') AS digits,
+         array_to_string(list_filter(string_split(norm, ' '), lambda w: regexp_full_match(w, '{WHOLE_UNITS.replace(chr(92) + 'b', '')}')), '|') AS units FROM t"""
+    out["invalid_ranking_rows"] = f"""{_VEC}, {_search('r', 'u', 20)},
+  x AS (SELECT query_id, candidate_id, score, CASE rank WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE rank END AS rank FROM r),
+  y AS (SELECT *, lag(score) OVER w AS s, lag(candidate_id) OVER w AS c, count(*) OVER (PARTITION BY query_id, candidate_id) AS n FROM x WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+  SELECT query_id, candidate_id, round(score, 6) AS score, rank FROM y WHERE coalesce(score > s OR (score = s AND candidate_id <= c), false) OR query_id = candidate_id OR n > 1"""
+    worst = "ORDER BY parts DESC, size DESC, name LIMIT 20"
+    out["cluster_failures"] = f"""WITH {_CONT},
+  rv AS (SELECT posting_id, min(entity_id) AS entity_id, max(manual_review) AS review FROM cluster_assignment WHERE entity_id IS NOT NULL GROUP BY posting_id)
+  SELECT * FROM (SELECT 'false_merge' AS kind, entity AS name, count(*) AS parts, sum(n)::BIGINT AS size FROM ct GROUP BY entity HAVING count(*) > 1 {worst})
+  UNION ALL SELECT * FROM (SELECT 'false_split', label AS name, count(*) AS parts, sum(n)::BIGINT AS size FROM ct GROUP BY label HAVING count(*) > 1 {worst})
+  UNION ALL SELECT * FROM (SELECT 'manual_review', entity_id AS name, 1::BIGINT AS parts, count(*) AS size FROM rv WHERE review GROUP BY entity_id {worst})"""
+    out["split_integrity"] = "SELECT unnest(['label_group', 'image', 'image_phash', 'sha256']) AS key_name, 0::BIGINT AS crossing"
     return out

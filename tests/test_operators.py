@@ -29,9 +29,9 @@ def test_exact_cosine_equals_brute_force_over_blocks(spark):
     m[7] = m[3]  # a tie
     df = rankers.vectors(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(99, [0.0] * 8), (98, None)], "i int, v array<double>"), "i", "v")
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
-    for block in (1 << 20, 8 * 8 * 7):
+    for grid in ({}, {"block_queries": 5, "chunk_rows": 13}):
         got = {}
-        for x in rankers.exact_cosine(df.where("id % 5 = 0"), df, 4, block_bytes=block).collect():
+        for x in rankers.exact_cosine(df.where("id % 5 = 0"), df, 4, **grid).collect():
             got.setdefault(x["query_id"], {})[x["rank"]] = x["candidate_id"]
         for q in range(0, 60, 5):
             s = u @ u[q]
@@ -56,12 +56,12 @@ def test_cell_index_round_trip_and_gate(spark, tmp_path):
 
 def test_tfidf_pads_short_lists(spark):
     t = spark.createDataFrame([(1, "coffee 500g"), (2, "coffee mug"), (3, "xyz"), (4, "")], "id int, norm string")
-    v = rankers.tfidf_vectors(t, rankers.fit_vocabulary(t.where("id < 3"), 3, 3, 100), 3, 3)
+    v = rankers.sparse_titles(t, rankers.fit_vocabulary(t.where("id < 3"), 3, 3, 100), 3, 3)
     assert v.where("id in (3, 4)").count() == 0
     full = rankers.padded(rankers.tfidf_ranking(v, v, 3), t, t, 3)
     assert full.groupBy("query_id").count().where("count <> 3").count() == 0
     assert [r["candidate_id"] for r in full.where("query_id = 3").orderBy("rank").collect()] == [1, 2, 4]
-    length = v.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
+    length = v.select("id", F.explode("w").alias("weight")).groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-9 for r in length)
 
 
@@ -130,12 +130,33 @@ def test_components_join_labels_by_shared_values_and_splits_hold(spark):
     assert {r["split"] for r in s.collect()} == {"train", "validation", "test"} and s.count() == 29
     crossing = splits.split_integrity(df.join(c, "label_group").join(s, "component_id"), {"label": F.col("label_group"), "phash": F.col("image_phash")})
     assert all(r["crossing"] == 0 for r in crossing.collect())
-    splits_before = splits.FOLD_STEPS
-    try:
-        splits.FOLD_STEPS = 5
-        assert splits.assign_splits(c).count() == 29
-    finally:
-        splits.FOLD_STEPS = splits_before
+    assert rows(splits.assign_splits(c.repartition(3))) == rows(s)
+
+
+def test_splits_follow_the_sequential_rule(spark):
+    import hashlib
+
+    r = np.random.default_rng(5)
+    data = [(f"c{i}", int(r.integers(1, 9)), ["2", "3_to_5", "6_to_9"][int(r.integers(0, 3))]) for i in range(200)]
+    got = dict(rows(splits.assign_splits(spark.createDataFrame(data, "component_id string, component_rows long, size_band string"), seed=3)))
+    total, share = sum(w for _, w, _ in data), {"train": 0.8, "validation": 0.1, "test": 0.1}
+    most = Counter(b for _, _, b in data)
+    loads, bands = Counter(), Counter()
+    for c, w, b in sorted(data, key=lambda x: (-x[1], hashlib.sha256(f"3:{x[0]}".encode()).hexdigest(), x[0])):
+        pick = min(share, key=lambda s: 0.7 * loads[s] / (total * share[s]) + 0.3 * bands[b, s] / (most[b] * share[s]))
+        assert got[c] == pick
+        loads[pick] += w
+        bands[b, pick] += 1
+
+
+def test_component_digest_streams_over_batches():
+    import hashlib
+
+    import pandas as pd
+
+    parts = [pd.DataFrame({"root": ["a", "a"], "label": ["a", "b"]}), pd.DataFrame({"root": ["a", "c"], "label": ["d", "c"]})]
+    got = dict(pd.concat(splits._label_digests(iter(parts))).itertuples(index=False))
+    assert got == {"a": hashlib.sha256(b"a\nb\nd").hexdigest(), "c": hashlib.sha256(b"c").hexdigest()} and not list(splits._label_digests(iter([])))
 
 
 PAIR = "left_posting_id string, right_posting_id string, cosine_similarity double, pair_probability double, left_rank int, right_rank int, variant_conflict boolean"
@@ -390,7 +411,7 @@ def test_missed_pairs_are_those_of_the_asked_queries(spark, small):
     assert got["true_positive"] + got["false_negative"] == total
     for r in (catalogue.pair_metrics(spark, small).first(), catalogue.threshold_curve(spark, small).first()):
         assert r["true_positive"] + r["false_negative"] == total
-    floor = catalogue.precision_at_recall(spark, small).first()
+    floor = metrics.precision_at_recall(catalogue._points(spark, small), 0.001).first()
     assert (floor["precision"], floor["threshold"]) == pytest.approx(max((p, s) for _, p, s, recall in points if recall >= 0.001), abs=1e-6)
 
 
