@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,10 @@ WINDOW = 12
 BUCKET_ROWS = 4_000
 #: Shortest names that may differ by one and by two edits.
 ONE_TYPO, TWO_TYPOS = 6, 8
-#: Times that pivots are compared again with one another.
-LEVELS = 2
+#: Links that one task clusters, by the same rounds; with more the rounds are joins.
+FINISH_LINKS = 1_000_000
+#: Postings of a group that one part pairs with all others.
+PART_ROWS = 5_000
 ATTRIBUTES = ("kind", "amount", "variant", "pieces")
 
 
@@ -58,8 +61,9 @@ def _alike(a: str, b: str) -> bool:
 def same_name(a: str, b: str) -> bool:
     """Soft alignment of two names: words may be split, misspelt or, on one side, missing.
 
-    The names agree when their letters do, or when all of one is a run of
-    words of the other, which then also states the brand.
+    The names agree when their letters do, when all of one is a run of words
+    of the other, which then also states the brand, or when two words or more
+    are all found in the other in any order.
     """
     x, y = a.split(), b.split()
     if not x or not y:
@@ -73,7 +77,16 @@ def same_name(a: str, b: str) -> bool:
             for j in range(i + 1, len(words) + 1):
                 if (i, j) != (0, len(words)) and _alike(whole, "".join(words[i:j])):
                     return True
-    return False
+    few, many = sorted((x, y), key=len)
+    if len(few) < 2:
+        return False
+    left = list(many)
+    for w in few:
+        met = next((v for v in left if _alike(w, v)), None)
+        if met is None:
+            return False
+        left.remove(met)
+    return True
 
 
 FIELDS = "kind string, amount string, variant string, pieces int, code string, name string"
@@ -124,7 +137,7 @@ def neighbour_links(nodes: DataFrame, scratch: Scratch, *, window: int = WINDOW,
     words = F.split("name", " ")
     joined = F.array_join(words, "")
     keys = F.array(
-        F.concat_ws("\x1f", F.lit("1"), "grp", joined),  # as written
+        F.concat_ws("\x1f", F.lit("1"), "grp", F.array_join(F.array_sort(words), "")),  # in order of the words
         F.concat_ws("\x1f", F.lit("2"), "grp", F.element_at(words, -1), joined),  # line before brand
         F.concat_ws("\x1f", F.lit("3"), "grp", F.reverse(joined)),  # from the end
         F.concat_ws("\x1f", F.lit("4"), "grp", "code", joined),  # by model code
@@ -154,6 +167,32 @@ def neighbour_links(nodes: DataFrame, scratch: Scratch, *, window: int = WINDOW,
     )
 
 
+def _rounds(t: pa.Table) -> pa.Table:
+    """The rounds of ``pivot_clusters`` over links that stand in both directions."""
+    a, b, support = (t.column(c).to_numpy() for c in ("a", "b", "sa"))
+    ids, first, codes = np.unique(a, return_index=True, return_inverse=True)
+    # more listings first, then the smaller id
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[np.lexsort((-ids, support[first]))] = np.arange(len(ids))
+    by_rank = np.argsort(rank)
+    x, y = codes, np.searchsorted(ids, b)
+    pivot = np.full(len(ids), -1)
+    while len(x):
+        top = np.full(len(ids), -1)
+        np.maximum.at(top, x, rank[y])
+        from_pivot = rank[x] > top[x]
+        best = np.full(len(ids), -1)
+        np.maximum.at(best, y[from_pivot], rank[x[from_pivot]])
+        took = best >= 0
+        pivot[took] = by_rank[best[took]]
+        closed = took.copy()
+        closed[x[from_pivot]] = True
+        keep = ~closed[x] & ~closed[y]
+        x, y = x[keep], y[keep]
+    got = np.flatnonzero(pivot >= 0)
+    return pa.table({"sid": ids[got], "pivot": ids[pivot[got]]})
+
+
 def pivot_clusters(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Correlation clustering by pivots: ``sid, pivot``.
 
@@ -169,7 +208,11 @@ def pivot_clusters(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> Data
         .join(ranks.select(F.col("sid").alias("b"), F.col("r").alias("rb")), "b")
     )
     taken: list[DataFrame] = []
-    while open_.limit(1).count():
+    while (n := open_.count()) > 0:
+        if n <= 2 * FINISH_LINKS:
+            flat = open_.select("a", "b", F.col("ra.support").alias("sa"), F.lit(0).alias("whole"))
+            taken.append(scratch.write(flat.groupBy("whole").applyInArrow(_rounds, "sid long, pivot long")))
+            break
         best = open_.groupBy("a", "ra").agg(F.max("rb").alias("top"))
         pivots = best.where("ra > top").select("a")
         took = scratch.write(
@@ -214,9 +257,9 @@ def product_groups(df: DataFrame, id_col: str = "posting_id", title: str = "titl
         read.groupBy("sid", "grp", "code", "name").agg(F.sum("n").alias("support"))
     )
     found = nodes.select("sid", F.col("sid").alias("group_id"))
-    for _ in range(LEVELS):
+    while True:  # each turn leaves fewer nodes; the last one finds no pivots that are alike
         links = scratch.write(neighbour_links(nodes, scratch, window=window))
-        if not links.limit(1).count():
+        if links.isEmpty():
             break
         pivots = scratch.write(pivot_clusters(nodes, links, scratch))
         found = scratch.write(
@@ -230,9 +273,21 @@ def product_groups(df: DataFrame, id_col: str = "posting_id", title: str = "titl
     )
 
 
+def product_classes(groups: DataFrame) -> DataFrame:
+    """``posting_id, group_id, members, links``: each posting of a group and the number of the others in it."""
+    one = groups.select("posting_id", "group_id").distinct()
+    sizes = one.groupBy("group_id").agg(F.count("*").alias("members"))
+    return one.join(sizes, "group_id").select("posting_id", "group_id", "members", (F.col("members") - 1).alias("links"))
+
+
 def group_pairs(groups: DataFrame) -> DataFrame:
-    """Every pair of postings of one group, ``left_posting_id, right_posting_id``, the smaller first."""
+    """Every pair of postings of one group, ``left_posting_id, right_posting_id``, the smaller first.
+
+    The postings of a large group are paired in parts of ``PART_ROWS`` with all of the group.
+    """
     one = groups.select("group_id", "posting_id").distinct()
-    left = one.withColumnRenamed("posting_id", "left_posting_id")
-    right = one.withColumnRenamed("posting_id", "right_posting_id")
-    return left.join(right, "group_id").where("left_posting_id < right_posting_id").select("left_posting_id", "right_posting_id").distinct()
+    parts = one.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
+    sized = one.join(parts, "group_id")
+    left = sized.select("group_id", F.col("posting_id").alias("left_posting_id"), F.pmod(F.xxhash64("posting_id"), F.col("parts")).cast("int").alias("part"))
+    right = sized.select("group_id", F.col("posting_id").alias("right_posting_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["group_id", "part"]).where("left_posting_id < right_posting_id").select("left_posting_id", "right_posting_id").distinct()

@@ -63,6 +63,10 @@ def p3_products(spark: SparkSession, d: str) -> DataFrame:
     return listing_groups.product_groups(table(spark, d, "train"))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return listing_groups.product_classes(listing_groups.product_groups(table(spark, d, "train")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     placed = balanced_splits.split_labels(table(spark, d, "listing"), table(spark, d, "split_component"), id_col="posting_id")
     return placed.where("label_group <> first_label_group and split is not null").select("first_label_group", "label_group")
@@ -137,7 +141,7 @@ def p8_spikes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_classes, p1_consistent_titles, p2_found, p2_entities, p3_found, p3_products, p4_found, p4_splits, p4_shares, p4_invariants,
+    p1_found, p1_classes, p1_consistent_titles, p2_found, p2_entities, p3_found, p3_products, p3_classes, p4_found, p4_splits, p4_shares, p4_invariants,
     p5_found, p5_records, p6_packed, p6_summary, p6_invariants, p7_found, p7_rewritten, p7_items, p8_found, p8_rates, p8_spikes,
 )
 

@@ -61,6 +61,7 @@ _PIECES = (
     re.compile(r"(?<!\w)x([2-9]|1[0-2])(?!\w)"),  # a longer number after x is a model code
 )
 _CODE = re.compile(r"(?<!\w)([a-z])[ -]?(\d{2,4})(?!\w)")
+_OTHER = re.compile(r"\d+(?:[.,]\d+)*")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -89,7 +90,9 @@ def fields(title: str) -> tuple[str, str, str, int, str, str]:
     """``kind, amount, variant, pieces, code, name`` of a title; what it lacks is empty (pieces: 1).
 
     ``name`` holds the remaining words in their order, parted by blanks; a word
-    broken by a hyphen is one word.
+    broken by a hyphen is one word.  Numbers with a unit or meaning that no list
+    knows are kept, in order of size, as further parts of ``amount``; their
+    units stay words of the name.
     """
     t = unicodedata.normalize("NFKC", title).casefold()
     t = t.replace("abu-abu", "abu abu").replace("t-shirt", "t shirt")
@@ -132,5 +135,8 @@ def fields(title: str) -> tuple[str, str, str, int, str, str]:
     for p in _PIECES:
         t = p.sub(count, t)
     t = _CODE.sub(named, _WEAR.sub(wear, _UNIT.sub(unit, t)))
+    others = sorted({m.replace(",", ".") for m in _OTHER.findall(t)}, key=lambda n: (len(n), n))
+    if others:
+        amount = " ".join([amount, *others]).strip()
     name = " ".join(_WORD.findall(_JOINED.sub("", t)))
     return kind, amount, variant, pieces or 1, code, name

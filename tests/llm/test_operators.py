@@ -163,6 +163,32 @@ def test_product_groups(spark):
     assert listing_groups.product_groups(df.limit(0)).count() == 0
 
 
+def test_products_off_the_lists(spark):
+    data = [
+        ("a", "Sandisk flashdisk 32GB"), ("b", "Sandisk flashdisk 64GB"), ("c", "Dell monitor 24 inch"), ("d", "Dell monitor 27 inch"), ("e", "Samsung Galaxy A12 128GB 6GB"),
+        ("f", "Samsung Galaxy A12 64GB 4GB"), ("g", "logitech wireless mouse"), ("h", "mouse wireless logitech"), ("i", "Flashdisk Sandisk 32 GB promo"), ("j", "galaxy samsung a12 6gb 128gb"),
+    ]
+    df = spark.createDataFrame(data, "posting_id string, title string")
+    groups = listing_groups.product_groups(df)
+    assert set(rows(listing_groups.group_pairs(groups))) == {("a", "i"), ("e", "j"), ("g", "h")}
+    assert {r["posting_id"]: r["links"] for r in listing_groups.product_classes(groups).collect()} == {x: int(x in "aiejgh") for x, _ in data}
+
+
+def test_pivots_are_the_same_in_one_task_and_in_rounds(spark, monkeypatch):
+    from kinmatch.runtime import Scratch
+
+    r = random.Random(12)
+    links = {tuple(sorted(r.sample(range(1, 90), 2))) for _ in range(160)}
+    nodes = spark.createDataFrame([(i, r.randrange(1, 4)) for i in range(1, 90)], "sid long, support long")
+    df = spark.createDataFrame(sorted(links), "a long, b long")
+    one = rows(listing_groups.pivot_clusters(nodes, df, Scratch(spark, "one")))
+    monkeypatch.setattr(listing_groups, "FINISH_LINKS", 0)
+    assert rows(listing_groups.pivot_clusters(nodes, df, Scratch(spark, "two"))) == one
+    monkeypatch.setattr(listing_groups, "PART_ROWS", 2)
+    groups = spark.createDataFrame([(i % 4, f"p{i:02d}") for i in range(30)], "group_id int, posting_id string")
+    assert len(rows(listing_groups.group_pairs(groups))) == sum(n * (n - 1) // 2 for n in (8, 8, 7, 7))
+
+
 def test_windows_meet_across_bucket_cuts(spark):
     from kinmatch.runtime import Scratch
 
