@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,26 +108,33 @@ def labelled_histogram(df: DataFrame, value: Column, edges: list[int]) -> DataFr
     return df.select(c.alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
 
 
+#: Bands of a hash in the search for near ones.
+NEAR_BANDS = 3
+
+
 def near_phashes(df: DataFrame, most: int, phash: str = "image_phash", label: str = "label_group") -> DataFrame:
     """``left_phash, right_phash, distance`` of different hashes at most ``most`` bits apart under different labels.
 
-    The 64 bits are cut into ``most + 1`` bands; two hashes that close agree on
-    one of them, so an equi-join per band finds every pair.  A pair counts if
-    its hashes' labels together are more than one.
+    The 64 bits are cut into three bands; of two hashes that close one band
+    differs in a third of ``most`` bits at most, so an equi-join of one side's
+    bands with the other's under every such flip of bits finds every pair.  A
+    band of some 21 bits keeps its keys apart at any size.  A pair counts if its
+    hashes' labels together are more than one.
     """
     rows = df.select(F.lower(F.trim(phash)).alias("h"), F.col(label).alias("label")).where("label is not null")
     rows = rows.select("h", phash_bits("h").alias("bits"), "label").where("bits is not null").distinct()
     # labels stay an aggregate: smallest and largest tell whether a union has more than one
     hashes = rows.groupBy("h", "bits").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    n = most + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    bands = F.array(*[
-        F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft("bits", 64 - cuts[i + 1]), 64 - (cuts[i + 1] - cuts[i])).alias("part"))
-        for i in range(n)
-    ])
-    one = hashes.select("*", F.explode(bands).alias("b")).select("h", "bits", "low", "high", "b.band", "b.part")
-    two = one.select(F.col("h").alias("h2"), F.col("bits").alias("bits2"), F.col("low").alias("low2"), F.col("high").alias("high2"), "band", "part")
-    met = one.join(two, ["band", "part"]).where("h < h2")
+    cuts = [64 * i // NEAR_BANDS for i in range(NEAR_BANDS + 1)]
+    parts = [F.shiftrightunsigned(F.shiftleft("bits", 64 - b), 64 - (b - a)) for a, b in itertools.pairwise(cuts)]
+    flips = [[sum(1 << j for j in some) for r in range(most // NEAR_BANDS + 1) for some in itertools.combinations(range(b - a), r)] for a, b in itertools.pairwise(cuts)]
+    own = F.array(*[F.struct(F.lit(i).alias("band"), p.alias("part")) for i, p in enumerate(parts)])
+    masks = lambda m: F.from_json(F.lit(str(m)), "array<bigint>")
+    flipped = lambda i, p: lambda x: F.struct(F.lit(i).alias("band"), p.bitwiseXOR(x).alias("part"))
+    near = F.flatten(F.array(*[F.transform(masks(m), flipped(i, p)) for i, (p, m) in enumerate(zip(parts, flips, strict=True))]))
+    one = hashes.select("*", F.explode(own).alias("b")).select("h", "bits", "low", "high", "b.band", "b.part")
+    two = hashes.select(F.col("h").alias("h2"), F.col("bits").alias("bits2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(near).alias("b"))
+    met = one.join(two.select("h2", "bits2", "low2", "high2", "b.band", "b.part"), ["band", "part"]).where("h < h2")
     close = met.select("*", hamming("bits", "bits2").alias("distance")).where(F.col("distance") <= most)
     crossing = close.where((F.least("low", "low2") != F.greatest("high", "high2")))
     return crossing.select(F.col("h").alias("left_phash"), F.col("h2").alias("right_phash"), "distance").distinct()

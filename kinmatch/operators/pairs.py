@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.functions.numbers import f1, safe_divide
 from kinmatch.operators.rankers import HELD_SCORES, grid_cells
+from kinmatch.runtime import Scratch
 
 PAIR = (
     "left_posting_id", "right_posting_id", "cosine_similarity", "pair_probability", "left_rank", "right_rank", "variant_conflict",
@@ -133,13 +134,16 @@ def classification_metrics(pairs: DataFrame, *, threshold: float, bins: int, rec
     ``pair_probability, positive`` and the ids that break ties row by row.
     """
     p, y = F.col("pair_probability"), F.col("positive")
-    # running sums per range of probabilities, then across the ranges
-    bucketed = pairs.withColumn("bucket", F.floor(p * 10_000))
-    over = bucketed.groupBy("bucket").agg(F.sum(y).alias("bp"), F.count("*").alias("bn"))
-    above_w = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    # ranges of a sort that ties are part of, so that a probability of many pairs is cut too; sums per range, then across the ranges
+    order = [F.desc("pair_probability"), F.asc("left_posting_id"), F.asc("right_posting_id")]
+    ranged = Scratch(pairs.sparkSession, "ranges").write(
+        pairs.repartitionByRange(*order).sortWithinPartitions(*order).select("pair_probability", "positive", F.monotonically_increasing_id().alias("mid"))
+    ).withColumn("bucket", F.shiftright("mid", 33))
+    over = ranged.groupBy("bucket").agg(F.sum(y).alias("bp"), F.count("*").alias("bn"))
+    above_w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     above = over.select("bucket", F.coalesce(F.sum("bp").over(above_w), F.lit(0)).alias("ap"), F.coalesce(F.sum("bn").over(above_w), F.lit(0)).alias("an"))
-    inside = Window.partitionBy("bucket").orderBy(F.desc("pair_probability"), "left_posting_id", "right_posting_id")
-    run = bucketed.select("*", F.sum(y).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("ip"), F.row_number().over(inside).alias("inr"))
+    inside = Window.partitionBy("bucket").orderBy("mid")
+    run = ranged.select("*", F.sum(y).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("ip"), F.row_number().over(inside).alias("inr"))
     run = run.join(above, "bucket").select("pair_probability", "positive", (F.col("ip") + F.col("ap")).alias("cum"), (F.col("inr") + F.col("an")).alias("place"))
     totals = pairs.agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
     prefix = run.crossJoin(F.broadcast(totals)).select("*", (F.col("cum") / F.col("place")).alias("pp"), (F.col("cum") / F.col("pos")).alias("pr"))
