@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions.numbers import f1, safe_divide, strict_size_band
-from kinmatch.operators.pairs import gated_pairs
+from kinmatch.operators.pairs import gate
 from kinmatch.operators.splits import star_components
 from kinmatch.runtime import Scratch
 
@@ -208,21 +208,26 @@ def conservative_clusters(pairs: DataFrame, settings: list[dict]) -> DataFrame:
     """
     spark = pairs.sparkSession
     scratch = Scratch(spark, "clusters")
-    parts = None
-    for i, s in enumerate(settings):
-        one = gated_pairs(pairs, threshold=s["threshold"], reciprocal=s["reciprocal"], override=s["override"]).where("gate = 'eligible'").select(
-            F.lit(i).alias("setting"), "left_posting_id", "right_posting_id", "pair_probability", "cosine_similarity", "variant_conflict",
-            F.lit(float(s["threshold"])).alias("threshold"), F.lit(float(s["coverage"])).alias("coverage"), F.lit(s["most"]).alias("most"), F.lit(float(s["margin"])).alias("margin"),
-        )
-        parts = one if parts is None else parts.unionByName(one)
-    eligible = scratch.write(parts)
-    prefix = lambda c: F.concat_ws("|", F.format_string("%05d", "setting"), c)
+    gates = list(dict.fromkeys((float(s["threshold"]), s["reciprocal"], float(s["override"])) for s in settings))
+    which = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(t).alias("threshold"), F.lit(r).alias("reciprocal"), F.lit(o).alias("override")) for g, (t, r, o) in enumerate(gates)]))
+    rule = F.col("rule")
+    passed = gate(F.col("pair_probability"), F.greatest("left_rank", "right_rank"), F.col("variant_conflict"), threshold=rule["threshold"], reciprocal=rule["reciprocal"], override=rule["override"])
+    # pairs are gated and components found once for all settings that differ in what comes after
+    eligible = scratch.write(
+        pairs.withColumn("rule", which).where(passed == "eligible")
+        .select("rule.g", "left_posting_id", "right_posting_id", "pair_probability", "cosine_similarity", "variant_conflict")
+    )
+    prefix = lambda c: F.concat_ws("|", F.format_string("%05d", "g"), c)
     roots = star_components(eligible.select(prefix("left_posting_id").alias("src"), prefix("right_posting_id").alias("dst")))
     tagged = eligible.withColumn("node", prefix("left_posting_id")).join(roots, "node").drop("node")
+    one = lambda i, s: F.struct(F.lit(i).alias("setting"), F.lit(float(s["threshold"])).alias("threshold"), F.lit(float(s["coverage"])).alias("coverage"), F.lit(s["most"]).alias("most"), F.lit(float(s["margin"])).alias("margin"))
+    of = lambda g: F.array(*[one(i, s) for i, s in enumerate(settings) if (float(s["threshold"]), s["reciprocal"], float(s["override"])) == gates[g]])
+    every = F.element_at(F.array(*[of(g) for g in range(len(gates))]), F.col("g") + 1)
+    tagged = tagged.withColumn("s", F.explode(every)).select(*[c for c in tagged.columns if c not in ("g", "root")], F.concat_ws("/", F.format_string("%05d", "s.setting"), "root").alias("root"), "s.*")
     sizes = tagged.groupBy("root").agg(F.count("*").alias("component_edges"))
     tagged = scratch.write(tagged.join(sizes, "root"))
     fits, over = tagged.where(F.col("component_edges") <= COMPONENT_EDGES), tagged.where(F.col("component_edges") > COMPONENT_EDGES).drop("component_edges")
-    buckets = max(spark.sparkContext.defaultParallelism, eligible.count() // COMPONENT_EDGES)
+    buckets = max(spark.sparkContext.defaultParallelism, tagged.count() // COMPONENT_EDGES)
     found = fits.withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(buckets))).select("bucket", *_IN).groupBy("bucket").applyInPandas(_components, _OUT)
     if not over.isEmpty():
         found = found.unionByName(_in_rounds(over, scratch))
@@ -259,32 +264,34 @@ def numbered_entities(assignments: DataFrame) -> DataFrame:
     return assignments.join(ids, "first_posting_id")
 
 
-def contingency(assignments: DataFrame, truth: DataFrame) -> DataFrame:
-    """``entity, label, n``: the only thing cluster metrics need, however large the groups are."""
+def contingency(assignments: DataFrame, truth: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``entity, label, n`` (for each value of ``by``): the only thing cluster metrics need, however large the groups are."""
     t = truth.select(F.col("id").alias("posting_id"), "label")
-    return assignments.join(t, "posting_id").groupBy(F.col("entity_id").alias("entity"), "label").agg(F.count("*").alias("n"))
+    return assignments.join(t, "posting_id").groupBy(*by, F.col("entity_id").alias("entity"), "label").agg(F.count("*").alias("n"))
 
 
-def cluster_metrics(table: DataFrame) -> DataFrame:
-    """Pairwise and B-cubed quality, merge and split rates and sizes from a contingency table, one row."""
+def cluster_metrics(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairwise and B-cubed quality, merge and split rates and sizes from a contingency table, one row (for each value of ``by``)."""
     c2 = lambda x: (x * (x - 1) / 2).cast("long")
-    e = table.groupBy("entity").agg(F.sum("n").alias("size"), F.count("*").alias("labels"))
-    t = table.groupBy("label").agg(F.sum("n").alias("size"), F.count("*").alias("entities"))
-    cells = table.join(e.select("entity", F.col("size").alias("es")), "entity").join(t.select("label", F.col("size").alias("ts")), "label")
+    by = list(by)
+    e = table.groupBy(*by, "entity").agg(F.sum("n").alias("size"), F.count("*").alias("labels"))
+    t = table.groupBy(*by, "label").agg(F.sum("n").alias("size"), F.count("*").alias("entities"))
+    cells = table.join(e.select(*by, "entity", F.col("size").alias("es")), [*by, "entity"]).join(t.select(*by, "label", F.col("size").alias("ts")), [*by, "label"])
     n = F.col("n")
-    a = cells.agg(
+    a = cells.groupBy(*by).agg(
         F.sum(c2(n)).alias("tp"), (F.sum(n * n / F.col("es")) / F.sum(n)).alias("b3p"), (F.sum(n * n / F.col("ts")) / F.sum(n)).alias("b3r"), F.sum(n).alias("postings"),
     )
-    b = e.agg(
+    b = e.groupBy(*by).agg(
         F.sum(c2(F.col("size"))).alias("pp"), F.count("*").alias("clusters"), F.sum((F.col("size") == 1).cast("long")).alias("singleton_clusters"),
         F.sum((F.col("labels") > 1).cast("long")).alias("impure"), F.sum(((F.col("labels") > 1) & (F.col("size") > 1)).cast("long")).alias("impure_ns"), F.max("size").alias("maximum_cluster_size"),
     )
-    c = t.agg(F.sum(c2(F.col("size"))).alias("ap"), F.count("*").alias("groups"), F.sum((F.col("entities") > 1).cast("long")).alias("split_groups"))
+    c = t.groupBy(*by).agg(F.sum(c2(F.col("size"))).alias("ap"), F.count("*").alias("groups"), F.sum((F.col("entities") > 1).cast("long")).alias("split_groups"))
     col = F.col
     precision, recall = safe_divide(col("tp"), col("pp")), safe_divide(col("tp"), col("ap"))
     plural = col("clusters") - col("singleton_clusters")
-    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c)).select(
-        precision.alias("pairwise_precision"), recall.alias("pairwise_recall"), f1(precision, recall).alias("pairwise_f1"),
+    whole = a.join(b, by).join(c, by) if by else a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))
+    return whole.select(
+        *by, precision.alias("pairwise_precision"), recall.alias("pairwise_recall"), f1(precision, recall).alias("pairwise_f1"),
         col("b3p").alias("b_cubed_precision"), col("b3r").alias("b_cubed_recall"), f1(col("b3p"), col("b3r")).alias("b_cubed_f1"),
         F.when(col("pp") > 0, 1 - precision).otherwise(0.0).alias("false_merge_pair_rate"),
         safe_divide(col("impure"), col("clusters")).alias("impure_cluster_rate"), safe_divide(col("impure_ns"), plural).alias("impure_non_singleton_cluster_rate"),
@@ -293,6 +300,16 @@ def cluster_metrics(table: DataFrame) -> DataFrame:
     )
 
 
+def swept(clusters: DataFrame, truth: DataFrame, settings: int) -> DataFrame:
+    """``setting`` and its cluster metrics over the labelled postings; those without an accepted pair stand alone."""
+    numbers = clusters.sparkSession.range(settings).select(F.col("id").cast("int").alias("setting"))  # the stated grid
+    every = truth.select(F.col("id").alias("posting_id")).crossJoin(F.broadcast(numbers))
+    a = every.join(clusters.select("setting", "posting_id", "first_posting_id"), ["setting", "posting_id"], "left").select(
+        "setting", "posting_id", F.coalesce("first_posting_id", "posting_id").alias("entity_id")
+    )
+    return cluster_metrics(contingency(a, truth, ("setting",)), ("setting",))
+
+
 def group_recovery(table: DataFrame) -> DataFrame:
     """``band, groups, unsplit_rate, mean_fragments`` by group size; all four bands, also empty ones."""
     t = table.groupBy("label").agg(F.sum("n").alias("size"), F.count("*").alias("fragments"))
@@ -318,9 +335,16 @@ def failure_review(table: DataFrame, assignments: DataFrame, most: int = 20) ->
 
 
 def select_policy(results: DataFrame, minimum_precision: float) -> DataFrame:
-    """Best setting of a sweep: among those precise enough the best pairwise F1, else the most precise one."""
-    ok = F.col("pairwise_precision") >= minimum_precision
-    key = F.struct(ok.cast("int").alias("ok"), F.when(ok, F.col("pairwise_f1")).otherwise(F.col("pairwise_precision")).alias("q"), F.col("b_cubed_f1"), (-F.col("setting")).alias("s"))
+    """Best setting of a sweep: one that is precise enough before any other, then by B-cubed F1 and pairwise F1 and precision.
+
+    Ties go to fewer split groups, then to the stricter policy: the higher
+    threshold, the smaller reciprocal rank, the higher coverage.
+    """
+    c = F.col
+    key = F.struct(
+        (c("pairwise_precision") >= minimum_precision).cast("int").alias("ok"), "b_cubed_f1", "pairwise_f1", "pairwise_precision",
+        (-c("false_split_group_rate")).alias("whole"), "threshold", (-c("reciprocal")).alias("strict"), "coverage",
+    )
     return results.agg(F.max_by(F.struct(*results.columns), key).alias("r")).select("r.*")
 
 

@@ -19,7 +19,12 @@ K = 20
 GRAMS, FEATURES, CANDIDATES = (2, 5), 100_000, 100  # the reference's title model
 GATES = {"threshold": 0.5, "reciprocal": 10, "override": 0.8}
 SETTING = GATES | {"coverage": 0.5, "most": 64, "margin": 0.05, "name": "frozen"}
-SWEEP = [GATES | {"threshold": t, "coverage": c, "most": 64, "margin": 0.05, "name": f"t{t}_c{c}"} for t in (0.5, 0.7) for c in (0.5, 1.0)]
+# The reference's grid of policies
+SWEEP = [
+    {"threshold": t, "reciprocal": r, "override": 0.15, "coverage": c, "most": 64, "margin": 0.02, "name": f"t{t}_r{r}_c{c}"}
+    for t in (0.1, 0.12, 0.14, 0.16, 0.18, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6) for r in (5, 10, 20, 50) for c in (0.0, 0.5, 1.0)
+]
+MINIMUM_PRECISION = 0.9
 BATCH = 256
 SIX = 6
 
@@ -474,18 +479,14 @@ def cluster_diagnostics(spark, d):
 
 def cluster_sweep(spark, d):
     s = Scratch(spark, "sweep")
-    all_ = s.write(_clusters(spark, d, SWEEP))
-    ids, truth = table(spark, d, "listing").select("posting_id"), inputs.listing_labels(spark, d)
-    out = None
-    for i, setting in enumerate(SWEEP):
-        a = clusters.with_singletons(all_.where(F.col("setting") == i), ids).withColumn("entity_id", F.col("first_posting_id"))
-        one = clusters.cluster_metrics(clusters.contingency(a, truth)).select(F.lit(i).alias("setting"), F.lit(setting["name"]).alias("name"), "pairwise_precision", "pairwise_recall", "pairwise_f1", "b_cubed_f1", "clusters")
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    found = clusters.swept(s.write(_clusters(spark, d, SWEEP)), inputs.listing_labels(spark, d), len(SWEEP))
+    rows = [(i, x["name"], float(x["threshold"]), x["reciprocal"], float(x["coverage"])) for i, x in enumerate(SWEEP)]
+    named = spark.createDataFrame(rows, "setting int, name string, threshold double, reciprocal int, coverage double")
+    return rounded(found.join(F.broadcast(named), "setting").select(*named.columns, "pairwise_precision", "pairwise_recall", "pairwise_f1", "b_cubed_f1", "false_split_group_rate", "clusters"))
 
 
 def selected_policy(spark, d):
-    return clusters.select_policy(cluster_sweep(spark, d), 0.8)
+    return clusters.select_policy(cluster_sweep(spark, d), MINIMUM_PRECISION)
 
 
 def _earlier(spark, d):
