@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmatch.errors import ContractError
 from kinmatch.functions.numbers import f1, safe_divide
 
 
@@ -193,3 +194,26 @@ def modality_review(tops: DataFrame) -> DataFrame:
     }
     one = tops.agg(*[F.coalesce(F.sum(v.cast("long")), F.lit(0)).alias(k) for k, v in flags.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("bucket"), F.col(k).alias("queries")) for k in flags])).alias("x")).select("x.*")
+
+
+def first_and_all_misses(judgements: DataFrame) -> DataFrame:
+    """One row ``queries, top1_false_matches, zero_recall_queries`` of a judged ranking."""
+    one = judgements.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("hit"))).alias("first"), F.max("hit").alias("any_"))
+    return one.agg(
+        F.count("*").alias("queries"), F.sum((F.coalesce("first", F.lit(0)) == 0).cast("long")).alias("top1_false_matches"),
+        F.sum((F.col("any_") == 0).cast("long")).alias("zero_recall_queries"),
+    )
+
+
+def validation_bundle(judgements: DataFrame, ks: list[int], ap_at: int, rows: int) -> DataFrame:
+    """Retrieval metrics of a ranking beside its best threshold, one row."""
+    point = select_threshold(threshold_points(judgements, asked_positives(judgements)))
+    chosen = point.select("threshold", "precision", "recall", F.col("f1").alias("pair_f1"))
+    return retrieval_metrics(per_query(judgements, ks, ap_at, rows), ks, ap_at).crossJoin(F.broadcast(chosen))
+
+
+def reproduced(values: dict[str, float], expected: dict[str, float], tolerance: float = 1e-4) -> None:
+    """An error unless each expected value came out again within the tolerance."""
+    wrong = sorted(k for k, v in expected.items() if abs(values[k] - v) > tolerance)
+    if wrong:
+        raise ContractError(f"not reproduced: {wrong}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinmatch.functions import titles as T
 from kinmatch.functions.hashes import phash_bits, stable_order
 from kinmatch.functions.numbers import dot, group_size_band, normalized_length_band, sigmoid, strict_size_band, title_length_band
-from kinmatch.operators import ann, audit, clusters, matcher, metrics, mining, models, pairs, rankers, sampling, splits
+from kinmatch.operators import ann, audit, clusters, matcher, metrics, mining, models, pairs, rankers, sampling, splits, stored
 from kinmatch.plans import inputs, oracles
 from kinmatch.runtime import Scratch, ship, table
 from kinmatch.sources import files
@@ -210,6 +210,32 @@ def failure_kinds(spark, d):
     return metrics.failure_kinds(_title_judged(spark, d), K)
 
 
+def first_and_all_misses(spark, d):
+    return metrics.first_and_all_misses(_judged(spark, d))
+
+
+def validation_bundle(spark, d):
+    j = Scratch(spark, "bundle").write(_judged(spark, d))
+    return rounded(metrics.validation_bundle(j, [1, 5, 10, 20], 20, _size(spark, d)))
+
+
+def base_ablations(spark, d):
+    """mAP of each modality alone and of their equal fusion."""
+    truth, n = inputs.embedded_truth(spark, d), _size(spark, d)
+    out = None
+    for name, r in (("image", _half(spark, d, "image")), ("text", _half(spark, d, "text")), ("simple", _fused_halves(spark, d, 0.5))):
+        one = metrics.per_query(metrics.judged(r, truth), [K], K, n).agg(F.lit(name).alias("ranking"), F.avg(f"ap_{K}").alias("map"), F.avg(f"recall_{K}").alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+def stored_topk(spark, d):
+    """The exact ranking from an index that was stored and read again."""
+    s, e = Scratch(spark, "stored"), inputs.embedded(spark, d)
+    index = stored.StoredExact.save(e, f"{s.root}/exact")
+    return rounded(index.search(e.where(inputs.is_query("id")), K))
+
+
 def best_positive(spark, d):
     """Rank and score 0 where no right candidate was found."""
     return rounded(metrics.best_positive(_judged(spark, d)).fillna(0))
@@ -725,7 +751,7 @@ def streamed_arrivals(spark, d):
 
 
 _ALL = (
-    exact_topk_cosine, phash_topk, near_phash_pairs, char_ngrams, tfidf_vocabulary, tfidf_weights, tfidf_topk, modality_score_fusion,
+    exact_topk_cosine, stored_topk, first_and_all_misses, validation_bundle, base_ablations, phash_topk, near_phash_pairs, char_ngrams, tfidf_vocabulary, tfidf_weights, tfidf_topk, modality_score_fusion,
     candidate_union, fuse_rankings, invalid_ranking_rows, ranking_lists, ann_topk, ranking_agreement, ann_disagreements, ann_gate,
     retrieval_metrics, retrieval_curve, select_candidate_k, stratified_metrics, failure_strata, failure_kinds, best_positive, review_examples,
     pair_metrics, select_threshold, precision_at_recall, threshold_curve, fusion_weight_selection, modality_review,

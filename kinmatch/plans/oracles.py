@@ -238,6 +238,17 @@ def oracle_sql() -> dict[str, str]:
     ks = [1, 5, 10, 20]
     names = [f"{m}_{k}" for k in ks for m in ("hit_rate", "recall", "precision", "f1")]
     out["retrieval_metrics"] = f"{_J}, {_per_query('p', 'j', ks, 20)} SELECT count(*) AS queries, round(avg(ap), 6) AS map_20, {', '.join(f'round(avg({n}), 6) AS {n}' for n in names)} FROM p"
+    out["stored_topk"] = out["exact_topk_cosine"]
+    out["first_and_all_misses"] = f"""{_J}, o AS (SELECT query_id, coalesce(max(hit) FILTER (rank = 1), 0) AS f, max(hit) AS a FROM j GROUP BY query_id)
+  SELECT count(*) AS queries, count(*) FILTER (f = 0) AS top1_false_matches, count(*) FILTER (a = 0) AS zero_recall_queries FROM o"""
+    out["validation_bundle"] = f"""{_POINTS}, {_per_query('p', 'j', ks, 20)},
+  m AS (SELECT count(*) AS queries, round(avg(ap), 6) AS map_20, {', '.join(f'round(avg({n}), 6) AS {n}' for n in names)} FROM p),
+  z AS (SELECT round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS pair_f1 FROM (SELECT * FROM points ORDER BY points.f1 DESC, points.precision DESC, points.threshold DESC LIMIT 1))
+  SELECT m.*, z.* FROM m CROSS JOIN z"""
+    bases = [("image", "a"), ("text", "b"), ("simple", "e")]
+    out["base_ablations"] = f"""{_HALVES}, {_search('a', 'im', 20)}, {_search('b', 'tx', 20)}, {_fused('e', 0.5, 20)},
+  {', '.join(f"{_judged(f'j{r}', r)}, {_per_query(f'p{r}', f'j{r}', [20], 20)}" for _, r in bases)}
+  {' UNION ALL '.join(f"SELECT '{n}' AS ranking, round(avg(ap), 6) AS map, round(avg(recall_20), 6) AS recall FROM p{r}" for n, r in bases)}"""
     curve = " UNION ALL ".join(
         f"SELECT {k} AS k, round(avg(recall_{k}), 6) AS recall, round(avg(hit_rate_{k}), 6) AS hit_rate, round(avg(precision_{k}), 6) AS precision, round(avg(f1_{k}), 6) AS f1, round(avg(ap), 6) AS map FROM p{k}" for k in ks
     )

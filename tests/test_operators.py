@@ -7,9 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kinmatch.errors import ConfigurationError, ContractError
 from kinmatch.functions.hashes import phash_bits
-from kinmatch.operators import ann, audit, clusters, matcher, metrics, mining, models, pairs, rankers, sampling, splits
+from kinmatch.operators import ann, audit, clusters, matcher, metrics, mining, models, pairs, rankers, sampling, splits, stored
 from kinmatch.plans import catalogue, inputs
+from kinmatch.sources import guards
 from tests.conftest import rows
 
 
@@ -54,6 +56,43 @@ def test_cell_index_round_trip_and_gate(spark, tmp_path):
     assert rows(ann.accepted_setting(trials, 5.0)) == [(3, False)]
 
 
+def test_stored_indexes_come_back_and_grow(spark, tmp_path):
+    r = np.random.default_rng(2)
+    df = rankers.vectors(spark.createDataFrame([(i, [float(x) for x in r.standard_normal(8)]) for i in range(200)], "i int, v array<double>"), "i", "v")
+    q = df.where("id % 20 = 0")
+    exact = rankers.exact_cosine(q, df, 5)
+    stored.same_rankings(exact, stored.StoredExact.save(df, f"{tmp_path}/exact").search(q, 5))
+    with pytest.raises(ContractError):
+        stored.same_rankings(exact, rankers.exact_cosine(q, df.where("id % 20 <> 7"), 5))
+    with pytest.raises(ContractError):
+        stored.StoredExact.save(df.unionByName(df), f"{tmp_path}/twice")
+    cells = stored.StoredCells.save(ann.CellIndex.fit(df, centres=8), df.where("id < 150"), f"{tmp_path}/cells")
+    cells.append(df.where("id >= 150"))
+    again = stored.StoredCells(spark, f"{tmp_path}/cells")
+    assert again.lists().count() == 200
+    found = again.search(q, 5, 8)
+    assert ann.agreement(exact, found, 5).agg(F.min("agreement")).first()[0] == 1.0
+
+
+def test_guards(spark, tmp_path):
+    findings = "severity string, code string, message string, n long"
+    rows_ = spark.range(3)
+    with pytest.raises(ContractError):
+        guards.publish(rows_, spark.createDataFrame([("critical", "a", "b", 1)], findings), f"{tmp_path}/out")
+    assert guards.publish(rows_, spark.createDataFrame([("warning", "a", "b", 1)], findings), f"{tmp_path}/out") == "passed_with_warnings"
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+    assert guards.frozen_policy({"threshold": 0.16}, {"threshold": 0.16, "rank": 5})
+    with pytest.raises(ConfigurationError):
+        guards.frozen_policy({"threshold": 0.16}, {"threshold": 0.2})
+    guards.claim_test_access(f"{tmp_path}/m/once.json", {"run": 1})
+    with pytest.raises(ContractError):
+        guards.claim_test_access(f"{tmp_path}/m/once.json", {"run": 2})
+    assert set(guards.latency_profile(lambda: None, 5)) == {"p50", "p95", "mean"}
+    metrics.reproduced({"map": 0.5}, {"map": 0.50005})
+    with pytest.raises(ContractError):
+        metrics.reproduced({"map": 0.5}, {"map": 0.51})
+
+
 def test_tfidf_pads_short_lists(spark):
     t = spark.createDataFrame([(1, "coffee 500g"), (2, "coffee mug"), (3, "xyz"), (4, "")], "id int, norm string")
     v = rankers.sparse_titles(t, rankers.fit_vocabulary(t.where("id < 3"), 3, 3, 100), 3, 3)
