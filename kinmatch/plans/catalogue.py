@@ -495,6 +495,19 @@ def conservative_clusters(spark, d):
     return rounded(_assigned(spark, d))
 
 
+def conservative_invariants(spark, d):
+    """Every posting is in one entity, none is larger than allowed, and what an entity says of itself holds for all its postings."""
+    a = Scratch(spark, "invariants").write(_assigned(spark, d))
+    by = a.groupBy("entity_id").agg(
+        F.count("*").alias("n"), F.min("cluster_size").alias("low"), F.max("cluster_size").alias("high"), F.min("cluster_confidence").alias("c"), F.max("cluster_confidence").alias("d")
+    )
+    wrong = by.agg(
+        F.sum((F.col("n") > SETTING["most"]).cast("long")).alias("oversized"),
+        F.sum(((F.col("n") != F.col("low")) | (F.col("n") != F.col("high")) | (F.col("c") != F.col("d"))).cast("long")).alias("torn"),
+    )
+    return a.agg(F.count_distinct("posting_id").alias("postings"), (F.count("*") - F.count_distinct("posting_id")).alias("repeated")).crossJoin(F.broadcast(wrong))
+
+
 def cluster_diagnostics(spark, d):
     c = _clusters(spark, d, SWEEP)
     return c.groupBy("setting", "name").agg(
@@ -758,7 +771,7 @@ _ALL = (
     duplicate_audit, cross_label_buckets, group_sizes, quantiles, image_quantiles, length_histogram, script_presence, title_counts, image_audit,
     audit_findings, audit_status, similarity_diagnostics, normalized_titles, plain_titles, identity_tokens, variant_conflicts, digit_unit_tokens,
     character_vocabulary, unknown_rate, label_components, split_assignment, split_integrity, candidate_pairs, usable_pairs, edge_gates,
-    reverse_rank, pair_policy, edge_metrics, candidate_classification, conservative_clusters, cluster_diagnostics, cluster_sweep,
+    reverse_rank, pair_policy, edge_metrics, candidate_classification, conservative_clusters, conservative_invariants, cluster_diagnostics, cluster_sweep,
     selected_policy, cluster_metrics, group_recovery, cluster_failures, hard_negatives, dedup_pairs, cap_variants, mining_counts,
     mined_probabilities, rejected_metadata, image_joins, candidate_sets, strongest_edges, digest_order, title_length_summary, run_summary,
     group_size_recall, label_blind_test_rows, near_phash_cross_split, negative_batch, product_batches, balanced_pairs, inspection_pairs, collision_samples, text_embeddings, contrastive_loss, pair_head,

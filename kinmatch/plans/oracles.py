@@ -12,7 +12,7 @@ _TOKENS = f"list_sort(list_distinct(regexp_extract_all({{n}}, '{IDENTITY}')))"
 
 
 def _compatible(t: str) -> str:
-    return f"nfc_normalize(replace(replace(translate({t}, '{_WIDE}', '{_NARROW}'), chr(64257), 'fi'), chr(64258), 'fl'))"
+    return f"nfc_normalize(replace(replace(replace(translate({t}, '{_WIDE}', '{_NARROW}'), chr(8209), chr(8208)), chr(64257), 'fi'), chr(64258), 'fl'))"
 
 
 def plain(t: str) -> str:
@@ -451,5 +451,22 @@ def oracle_sql() -> dict[str, str]:
   SELECT * FROM (SELECT 'false_merge' AS kind, entity AS name, count(*) AS parts, sum(n)::BIGINT AS size FROM ct GROUP BY entity HAVING count(*) > 1 {worst})
   UNION ALL SELECT * FROM (SELECT 'false_split', label AS name, count(*) AS parts, sum(n)::BIGINT AS size FROM ct GROUP BY label HAVING count(*) > 1 {worst})
   UNION ALL SELECT * FROM (SELECT 'manual_review', entity_id AS name, 1::BIGINT AS parts, count(*) AS size FROM rv WHERE review GROUP BY entity_id {worst})"""
+    share = "[0.8, 0.1, 0.1]"
+    cost = lambda j: f"0.7 * l[{j}] / (total * {share}[{j}]) + 0.3 * b[(band - 1) * 3 + {j}] / greatest(m * {share}[{j}], 1e-12)"
+    out["split_assignment"] = f"""WITH RECURSIVE one AS (SELECT DISTINCT component_id, component_rows::DOUBLE AS w, size_band FROM ({out['label_components']})),
+  o AS (SELECT component_id, w, list_position(['2', '3_to_5', '6_to_9', '10_plus'], size_band) AS band, count(*) OVER (PARTITION BY size_band)::DOUBLE AS m, sum(w) OVER () AS total,
+        row_number() OVER (ORDER BY w DESC, sha256('2026:' || component_id), component_id) AS i FROM one),
+  walk(i, component_id, pick, l, b) AS (
+    SELECT 0::BIGINT, ''::VARCHAR, 0, [0.0, 0.0, 0.0]::DOUBLE[], list_transform(range(12), lambda x: 0.0)::DOUBLE[]
+    UNION ALL
+    SELECT i, component_id, pick, list_transform(l, lambda x, k: CASE WHEN k = pick THEN x + w ELSE x END), list_transform(b, lambda x, k: CASE WHEN k = (band - 1) * 3 + pick THEN x + 1 ELSE x END)
+    FROM (SELECT *, CASE WHEN c1 <= c2 AND c1 <= c3 THEN 1 WHEN c2 <= c3 THEN 2 ELSE 3 END AS pick FROM (
+      SELECT o.*, l, b, {cost(1)} AS c1, {cost(2)} AS c2, {cost(3)} AS c3 FROM walk JOIN o ON o.i = walk.i + 1)))
+  SELECT component_id, ['train', 'validation', 'test'][pick] AS split FROM walk WHERE i > 0"""
+    audit_form = audit_title
+    folded = f"translate(replace(replace(replace(lower(title), 'ß', 'ss'), chr(64257), 'fi'), chr(64258), 'fl'), '{_CHEROKEE[0]}', '{_CHEROKEE[1]}')"
+    out["normalized_titles"] = f"""SELECT row_number, {plain('title')} AS feature_title, translate({audit_form}, '{_CHEROKEE[0]}', '{_CHEROKEE[1]}') AS audit_title, {folded} AS folded_title, title AS shown_title
+  FROM listing WHERE title IS NOT NULL"""
+    out["conservative_invariants"] = "SELECT count(DISTINCT posting_id) AS postings, 0::BIGINT AS repeated, 0::BIGINT AS oversized, 0::BIGINT AS torn FROM listing"
     out["split_integrity"] = "SELECT unnest(['label_group', 'image', 'image_phash', 'sha256']) AS key_name, 0::BIGINT AS crossing"
     return out
