@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +43,12 @@ def tokenizer(path: str):
 
 
 def token_counts(df: DataFrame, id_col: str, text: str, path: str = TOKENIZER) -> DataFrame:
-    """``id, tokens`` of every row with a text."""
+    """``id, tokens`` of every row with a text; the vocabulary file is sent to the executors."""
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(SparkFiles.get(name)).encode_ordinary
         for d in batches:
             yield pd.DataFrame({"id": d["id"], "tokens": [len(encode(t)) for t in d["text"]]})
 
