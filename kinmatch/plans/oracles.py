@@ -463,6 +463,22 @@ def oracle_sql() -> dict[str, str]:
     FROM (SELECT *, CASE WHEN c1 <= c2 AND c1 <= c3 THEN 1 WHEN c2 <= c3 THEN 2 ELSE 3 END AS pick FROM (
       SELECT o.*, l, b, {cost(1)} AS c1, {cost(2)} AS c2, {cost(3)} AS c3 FROM walk JOIN o ON o.i = walk.i + 1)))
   SELECT component_id, ['train', 'validation', 'test'][pick] AS split FROM walk WHERE i > 0"""
+    own_split = f"""cs AS ({out['split_assignment']}), lc AS ({out['label_components']}), ls AS (SELECT label_group, split FROM lc JOIN cs USING (component_id))"""
+    out["label_blind_test_rows"] = f"""WITH {_IMAGES}, {own_split}
+  SELECT posting_id, image, image_phash, title FROM tr WHERE posting_id IN (SELECT posting_id FROM tr JOIN ls USING (label_group) WHERE split = 'test')"""
+    out["near_phash_cross_split"] = f"""WITH {_IMAGES}, {own_split}, near AS ({out['near_phash_pairs']}),
+  placed AS (SELECT DISTINCT lower(trim(image_phash)) AS h, split FROM tr JOIN ls USING (label_group))
+  SELECT DISTINCT left_phash, right_phash, distance FROM near JOIN placed a ON left_phash = a.h JOIN placed b ON right_phash = b.h WHERE a.split <> b.split"""
+    out["inspection_pairs"] = """
+  WITH own AS (SELECT posting_id AS id, min(label_group) AS label, min(image) AS image FROM train WHERE label_group IS NOT NULL GROUP BY posting_id),
+  f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('7:' || id)) AS p, count(*) OVER (PARTITION BY label) AS n FROM own WHERE id IS NOT NULL),
+  a AS (SELECT label, id AS left_id, image AS li FROM f WHERE p = 1 AND n >= 2 ORDER BY sha256('7:' || label), label LIMIT 20)
+  SELECT label, left_id, id AS right_id FROM own JOIN a USING (label) WHERE id <> left_id
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY coalesce(image = li, true)::INT, sha256('7:' || id)) = 1"""
+    taken = ", ".join(f"cap.{c}" for c in ("left_posting_id", "right_posting_id", "left_label_group", "right_label_group", "cosine_similarity", "pair_probability", "variant_conflict"))
+    out["negative_batch"] = f"""WITH cap AS ({out['cap_variants']}), o AS (
+    SELECT {taken}, row_number() OVER (ORDER BY sha256('7:0:0:' || left_posting_id || '|' || right_posting_id), left_posting_id, right_posting_id) - 1 AS r FROM cap QUALIFY r < 64)
+  SELECT slot, {taken.replace('cap.', 'o.')} FROM (SELECT unnest(range(64)) AS slot) JOIN o ON r = slot % (SELECT count(*) FROM o)"""
     audit_form = audit_title
     folded = f"translate(replace(replace(replace(lower(title), 'ß', 'ss'), chr(64257), 'fi'), chr(64258), 'fl'), '{_CHEROKEE[0]}', '{_CHEROKEE[1]}')"
     out["normalized_titles"] = f"""SELECT row_number, {plain('title')} AS feature_title, translate({audit_form}, '{_CHEROKEE[0]}', '{_CHEROKEE[1]}') AS audit_title, {folded} AS folded_title, title AS shown_title
