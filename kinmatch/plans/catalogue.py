@@ -289,6 +289,11 @@ def fusion_weight_selection(spark, d):
     return rounded(metrics.select_weight(_weights(spark, d)))
 
 
+def _row_tokens(spark, d):
+    """``id, tokens``: the quantity tokens of the listing whose row has the number of a vector."""
+    return inputs.titled(spark, d).select("id", T.identity_tokens("norm").alias("tokens"))
+
+
 def modality_review(spark, d):
     truth = inputs.embedded_truth(spark, d)
     out = None
@@ -297,7 +302,12 @@ def modality_review(spark, d):
             (F.max(F.when(F.col("rank") == 1, F.col("hit"))) == 1).alias(name), F.max(F.when(F.col("rank") == 1, F.col("candidate_id"))).alias(f"{name}_top"), (F.max("hit") == 1).alias(f"{name}_any")
         )
         out = one if out is None else out.join(one, "query_id")
-    return metrics.modality_review(out.withColumn("conflict", F.col("query_id") % 3 != F.col("pair_top") % 3))
+    tokens = _row_tokens(spark, d)
+    both = out.join(tokens.select(F.col("id").alias("query_id"), F.col("tokens").alias("qt")), "query_id", "left").join(
+        tokens.select(F.col("id").alias("pair_top"), F.col("tokens").alias("ct")), "pair_top", "left"
+    )
+    none = F.array().cast("array<string>")
+    return metrics.modality_review(both.withColumn("conflict", T.variant_conflict(F.coalesce("qt", none), F.coalesce("ct", none))))
 
 
 # ---- audit
@@ -738,7 +748,7 @@ def pair_head(spark, d):
 
 def matcher_decisions(spark, d):
     e = inputs.embedded(spark, d)
-    with_tokens = e.withColumn("tokens", F.array(F.pmod("id", F.lit(7)).cast("string")))
+    with_tokens = Scratch(spark, "tokens").write(e.join(_row_tokens(spark, d), "id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))))
     known = inputs.embedded_truth(spark, d).select("id", F.concat(F.lit("entity_"), "label").alias("entity_id"), (F.col("id") % 11 == 0).alias("manual_review"))
     _, decisions = matcher.match(with_tokens.where(inputs.is_query("id")), with_tokens, known, lambda c: sigmoid(10 * (c - 0.3)), k=5, threshold=0.4, reciprocal=10, override=0.6, margin=0.05)
     return rounded(decisions)

@@ -279,11 +279,11 @@ def oracle_sql() -> dict[str, str]:
     per = ", ".join(f"m{r} AS (SELECT query_id, max(hit) FILTER (rank = 1) = 1 AS ok, max(candidate_id) FILTER (rank = 1) AS top, max(hit) = 1 AS any_ FROM j{r} GROUP BY query_id)" for _, r in tops)
     flags = {
         "pair_top1_false_match": "NOT mr.ok", "pair_retrieval_miss": "NOT mr.any_", "pair_head_regression": "mc.ok AND NOT mr.ok", "pair_head_rescue": "NOT mc.ok AND mr.ok",
-        "image_rescue": "ma.ok AND NOT mb.ok", "text_rescue": "mb.ok AND NOT ma.ok", "modality_disagreement": "ma.top <> mb.top", "variant_token_conflict": "query_id % 3 <> mr.top % 3",
+        "image_rescue": "ma.ok AND NOT mb.ok", "text_rescue": "mb.ok AND NOT ma.ok", "modality_disagreement": "ma.top <> mb.top", "variant_token_conflict": "len(coalesce(ta.tok, [])) + len(coalesce(tb.tok, [])) > 0 AND coalesce(ta.tok, []) <> coalesce(tb.tok, [])",
     }
-    rows = " UNION ALL ".join(f"SELECT '{k}' AS bucket, count(*) FILTER ({v}) AS queries FROM ma JOIN mb USING (query_id) JOIN mc USING (query_id) JOIN mr USING (query_id)" for k, v in flags.items())
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS bucket, count(*) FILTER ({v}) AS queries FROM ma JOIN mb USING (query_id) JOIN mc USING (query_id) JOIN mr USING (query_id) LEFT JOIN tk ta ON ta.id = mr.query_id LEFT JOIN tk tb ON tb.id = mr.top" for k, v in flags.items())
     out["modality_review"] = f"""{_HALVES}, {_unit('u', 'em', 'embedding')}, {_search('a', 'im', 20)}, {_search('b', 'tx', 20)}, {_fused('c', 0.5, 20)}, {_search('r', 'u', 20)},
-  {', '.join(_judged(f'j{r}', r) for _, r in tops)}, {per} {rows}"""
+  {', '.join(_judged(f'j{r}', r) for _, r in tops)}, {per}, {_TITLES}, tk AS (SELECT id, {tokens('norm')} AS tok FROM t) {rows}"""
     out["candidate_pairs"] = f"""{_VEC}, {_search('r', 'u', 20)} SELECT least(query_id, candidate_id) AS left_id, greatest(query_id, candidate_id) AS right_id, round(max(score), 6) AS cosine,
          coalesce(min(CASE WHEN query_id < candidate_id THEN rank END), 21) AS left_rank, coalesce(min(CASE WHEN query_id > candidate_id THEN rank END), 21) AS right_rank FROM r GROUP BY 1, 2"""
     out["reverse_rank"] = f"""{_VEC}, {_search('r', 'u', 5)} SELECT query_id, candidate_id, 1 + count(*) FILTER (list_inner_product(c.v, x.v) > score) AS reverse_rank
