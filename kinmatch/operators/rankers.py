@@ -25,7 +25,7 @@ from kinmatch.functions.numbers import unit_vector
 #: Queries of a block and rows of a chunk.
 BLOCK_QUERIES, CHUNK_ROWS = 16_384, 16_384
 #: Scores that a worker holds at once.
-HELD_SCORES = 4_000_000
+HELD_SCORES = 1_000_000
 #: Rows below which a chunk is not worth a task.
 LEAST_ROWS = 256
 #: Share of a chunk's titles from which a gram is scored as a dense column.
