@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from kinmatch.functions.numbers import unit_vector
 
 #: Queries of a block and rows of a chunk.
-BLOCK_QUERIES, CHUNK_ROWS = 16_384, 16_384
+BLOCK_QUERIES, CHUNK_ROWS = 8_192, 8_192
 #: Scores that a worker holds at once.
 HELD_SCORES = 1_000_000
 #: Rows below which a chunk is not worth a task.
