@@ -409,6 +409,16 @@ def test_truncation_by_spike_and_by_broken_transfer(spark):
     assert truncation.truncated_texts(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_text_do_not_hide_its_lost_end(spark):
+    data = [*_corpus(), (2_000, "We will reply about the ref", "chat"), (2_001, "Sorry, the red one is sold", "chat"), (2_002, "Can you ship 7 boxes", "chat")]
+    one = spark.createDataFrame(data, "doc_id long, text string, source string")
+    many = one.crossJoin(spark.range(20)).select((F.col("doc_id") + 10_000 * F.col("id")).alias("doc_id"), "text", "source")
+    found = {r["id"] for r in truncation.truncated_texts(one).collect()}
+    assert {2_000, 2_001, 2_002} <= found
+    got = sorted(r["id"] for r in truncation.truncated_texts(many).collect())
+    assert got == sorted(i + 10_000 * k for i in found for k in range(20))
+
+
 def test_ends(spark):
     some = ["to be", "a...", "x\ufffd", "ship 20.", "a [...] ", "Done.", "ok 👍", "(end of note)", "choose XS-10191.", "", " \n"]
     got = {r["t"]: (r["o"], r["b"]) for r in spark.createDataFrame([(t,) for t in some], "t string").select("t", truncation.ends_open(F.col("t")).alias("o"), truncation.bare_end(F.col("t")).alias("b")).collect()}
