@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,8 @@ from pyspark.sql import types as T
 from kinmatch.functions.hashes import hamming, phash_bits
 from kinmatch.functions.numbers import balanced_round, group_size_band
 from kinmatch.functions.titles import title_scripts
+from kinmatch.operators.rankers import HELD_SCORES, grid_cells
+from kinmatch.runtime import Scratch
 
 QUANTILES = (("minimum", 0.0), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95), ("p99", 0.99), ("maximum", 1.0))
 FINDING = T.StructType([
@@ -110,34 +114,58 @@ def labelled_histogram(df: DataFrame, value: Column, edges: list[int]) -> DataFr
 
 #: Bands of a hash in the search for near ones.
 NEAR_BANDS = 3
+#: Hashes of a block and of a chunk in that search; a worker holds three tables of a block.
+NEAR_BLOCK, NEAR_CHUNK = 1_048_576, 262_144
 
 
-def near_phashes(df: DataFrame, most: int, phash: str = "image_phash", label: str = "label_group") -> DataFrame:
+def _near_cell(most: int):
+    """``a, b``: hashes of a block and a chunk at most ``most`` bits apart, the smaller one from the chunk."""
+    cuts = [64 * i // NEAR_BANDS for i in range(NEAR_BANDS + 1)]
+    flips = [[sum(1 << j for j in some) for r in range(most // NEAR_BANDS + 1) for some in itertools.combinations(range(b - a), r)] for a, b in itertools.pairwise(cuts)]
+
+    def run(block: pa.Table, chunk: pa.Table) -> pa.Table:
+        held, asked = (t.column("id").to_numpy().view(np.uint64) for t in (block, chunk))
+        found = [np.empty((0, 2), dtype=np.uint64)]
+        for (low, high), masks in zip(itertools.pairwise(cuts), flips, strict=True):
+            part = lambda x: (x >> np.uint64(low) & np.uint64((1 << high - low) - 1)).astype(np.int64)  # noqa: B023, E731
+            order = np.argsort(part(held), kind="stable")
+            first = np.concatenate([[0], np.cumsum(np.bincount(part(held), minlength=1 << high - low))])
+            mine = part(asked)
+            for m in masks:
+                at = mine ^ m
+                n = first[at + 1] - first[at]
+                some = np.flatnonzero(n)
+                size = n[some]
+                for rows in np.split(np.arange(len(some)), np.flatnonzero(np.diff(np.cumsum(size) // HELD_SCORES)) + 1):
+                    k = size[rows]
+                    place = np.repeat(first[at[some[rows]]] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) if len(k) else np.empty(0, dtype=np.int64)
+                    a, b = np.repeat(asked[some[rows]], k), held[order[place + np.arange(len(place))]]
+                    near = (a < b) & (np.bitwise_count(a ^ b) <= most)
+                    found.append(np.stack([a[near], b[near]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def near_phashes(df: DataFrame, most: int, phash: str = "image_phash", label: str = "label_group", **grid: int) -> DataFrame:
     """``left_phash, right_phash, distance`` of different hashes at most ``most`` bits apart under different labels.
 
     The 64 bits are cut into three bands; of two hashes that close one band
-    differs in a third of ``most`` bits at most, so an equi-join of one side's
-    bands with the other's under every such flip of bits finds every pair.  A
-    band of some 21 bits keeps its keys apart at any size.  A pair counts if its
-    hashes' labels together are more than one.
+    differs in a third of ``most`` bits at most, so looking up one side's bands
+    under every such flip of bits among the other's finds every pair.  That is
+    done in the cells of a grid, where hashes travel as numbers, and no flip
+    becomes a row.  A pair counts if its hashes' labels together are more than one.
     """
     rows = df.select(F.lower(F.trim(phash)).alias("h"), F.col(label).alias("label")).where("label is not null")
     rows = rows.select("h", phash_bits("h").alias("bits"), "label").where("bits is not null").distinct()
     # labels stay an aggregate: smallest and largest tell whether a union has more than one
-    hashes = rows.groupBy("h", "bits").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    cuts = [64 * i // NEAR_BANDS for i in range(NEAR_BANDS + 1)]
-    parts = [F.shiftrightunsigned(F.shiftleft("bits", 64 - b), 64 - (b - a)) for a, b in itertools.pairwise(cuts)]
-    flips = [[sum(1 << j for j in some) for r in range(most // NEAR_BANDS + 1) for some in itertools.combinations(range(b - a), r)] for a, b in itertools.pairwise(cuts)]
-    own = F.array(*[F.struct(F.lit(i).alias("band"), p.alias("part")) for i, p in enumerate(parts)])
-    masks = lambda m: F.from_json(F.lit(str(m)), "array<bigint>")
-    flipped = lambda i, p: lambda x: F.struct(F.lit(i).alias("band"), p.bitwiseXOR(x).alias("part"))
-    near = F.flatten(F.array(*[F.transform(masks(m), flipped(i, p)) for i, (p, m) in enumerate(zip(parts, flips, strict=True))]))
-    one = hashes.select("*", F.explode(own).alias("b")).select("h", "bits", "low", "high", "b.band", "b.part")
-    two = hashes.select(F.col("h").alias("h2"), F.col("bits").alias("bits2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(near).alias("b"))
-    met = one.join(two.select("h2", "bits2", "low2", "high2", "b.band", "b.part"), ["band", "part"]).where("h < h2")
-    close = met.select("*", hamming("bits", "bits2").alias("distance")).where(F.col("distance") <= most)
-    crossing = close.where((F.least("low", "low2") != F.greatest("high", "high2")))
-    return crossing.select(F.col("h").alias("left_phash"), F.col("h2").alias("right_phash"), "distance").distinct()
+    hashes = Scratch(df.sparkSession, "near").write(rows.groupBy("h", "bits").agg(F.min("label").alias("low"), F.max("label").alias("high")))
+    ids = hashes.select(F.col("bits").alias("id"))
+    met = grid_cells(ids, ids, _near_cell(most), "a long, b long", **{"block_queries": NEAR_BLOCK, "chunk_rows": NEAR_CHUNK} | grid)
+    end = lambda n, bits: hashes.select(F.col("bits").alias(bits), *[F.col(c).alias(f"{c}{n}") for c in ("h", "low", "high")])
+    crossing = met.join(end(1, "a"), "a").join(end(2, "b"), "b").where(F.least("low1", "low2") != F.greatest("high1", "high2"))
+    return crossing.select(F.col("h1").alias("left_phash"), F.col("h2").alias("right_phash"), hamming("a", "b").alias("distance"))
 
 
 def audit_findings(counts: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:

@@ -132,6 +132,20 @@ def test_near_hashes_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_near_hashes_of_all_cells_equal_brute_force(spark):
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(20)]
+    found = sorted({b ^ sum(1 << j for j in r.sample(range(64), r.randrange(7))) for b in base for _ in range(15)})
+    data = [(f"{x:016x}", f"g{i}") for i, x in enumerate(found)]
+    want = {(f"{a:016x}", f"{b:016x}"): (a ^ b).bit_count() for a in found for b in found if a < b and (a ^ b).bit_count() <= 8}
+    df = spark.createDataFrame(data, "image_phash string, label_group string")
+    for grid in ({}, {"block_queries": 90, "chunk_rows": 60}):
+        near = audit.near_phashes(df, 8, **grid)
+        assert "explode(flatten" not in near._jdf.queryExecution().toString()  # no row for each flip of bits
+        got = [((a, b), d) for a, b, d in rows(near)]
+        assert len(got) == len(want) and dict(got) == want
+
+
 def test_nearest_rank_quantiles(spark):
     df = spark.createDataFrame([(x,) for x in (5, 1, 4, 2, 3, None)], "x int")
     got = {(q): v for _, q, v in rows(audit.nearest_rank_quantiles(df, {"m": F.col("x")}))}
