@@ -413,6 +413,17 @@ def test_title_ranking_equals_brute_force_of_the_whole_model(spark, small):
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
 
 
+def test_titles_weighed_in_cells_rank_as_their_vectors(spark, small):
+    t = inputs.titled(spark, small).limit(400).cache()
+    t = t.unionByName(spark.createDataFrame([(-20, ""), (-40, "zzz qqq")], "id long, norm string"))
+    vocabulary = rankers.fit_vocabulary(t.where("id > 0"), 2, 5, 3_000).cache()
+    v, asked = rankers.sparse_titles(t, vocabulary, 2, 5), "id % 4 = 0"
+    want = rows(rankers.tfidf_ranking(v.where(asked), v, 7).select("query_id", "rank", "candidate_id", "score"))
+    for grid in ({}, {"held_rows": 50, "block_queries": 40, "chunk_rows": 130}):
+        found = rankers.title_ranking(t.where(asked), t, vocabulary, 2, 5, 7, **grid)
+        assert rows(found.select("query_id", "rank", "candidate_id", "score")) == want and want
+
+
 def test_batches_hold_every_row_with_another_of_its_label(spark):
     data = [(i, i % 9 if i < 100 else 9) for i in range(203)]
     got = sampling.row_batches(spark.createDataFrame(data, "id int, label int"), size=20, seed=3).collect()
