@@ -146,6 +146,11 @@ def test_near_hashes_of_all_cells_equal_brute_force(spark):
         assert len(got) == len(want) and dict(got) == want
 
 
+def test_near_hashes_across_splits_make_no_row_for_a_flip(spark, small):
+    plan = catalogue.near_phash_cross_split(spark, small)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "flatten(" not in plan
+
+
 def test_nearest_rank_quantiles(spark):
     df = spark.createDataFrame([(x,) for x in (5, 1, 4, 2, 3, None)], "x int")
     got = {(q): v for _, q, v in rows(audit.nearest_rank_quantiles(df, {"m": F.col("x")}))}
