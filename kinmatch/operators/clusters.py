@@ -272,6 +272,11 @@ def contingency(assignments: DataFrame, truth: DataFrame, by: tuple[str, ...] =
 
 def cluster_metrics(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairwise and B-cubed quality, merge and split rates and sizes from a contingency table, one row (for each value of ``by``)."""
+    return measures(cluster_sums(table, by), list(by))
+
+
+def cluster_sums(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """What ``measures`` takes, from a contingency table."""
     c2 = lambda x: (x * (x - 1) / 2).cast("long")
     by = list(by)
     e = table.groupBy(*by, "entity").agg(F.sum("n").alias("size"), F.count("*").alias("labels"))
@@ -286,11 +291,15 @@ def cluster_metrics(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         F.sum((F.col("labels") > 1).cast("long")).alias("impure"), F.sum(((F.col("labels") > 1) & (F.col("size") > 1)).cast("long")).alias("impure_ns"), F.max("size").alias("maximum_cluster_size"),
     )
     c = t.groupBy(*by).agg(F.sum(c2(F.col("size"))).alias("ap"), F.count("*").alias("groups"), F.sum((F.col("entities") > 1).cast("long")).alias("split_groups"))
+    return a.join(b, by).join(c, by) if by else a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))
+
+
+def measures(sums: DataFrame, by: list[str]) -> DataFrame:
+    """The metrics of ``cluster_sums``."""
     col = F.col
     precision, recall = safe_divide(col("tp"), col("pp")), safe_divide(col("tp"), col("ap"))
     plural = col("clusters") - col("singleton_clusters")
-    whole = a.join(b, by).join(c, by) if by else a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))
-    return whole.select(
+    return sums.select(
         *by, precision.alias("pairwise_precision"), recall.alias("pairwise_recall"), f1(precision, recall).alias("pairwise_f1"),
         col("b3p").alias("b_cubed_precision"), col("b3r").alias("b_cubed_recall"), f1(col("b3p"), col("b3r")).alias("b_cubed_f1"),
         F.when(col("pp") > 0, 1 - precision).otherwise(0.0).alias("false_merge_pair_rate"),
@@ -300,14 +309,14 @@ def cluster_metrics(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def swept(clusters: DataFrame, truth: DataFrame, settings: int) -> DataFrame:
-    """``setting`` and its cluster metrics over the labelled postings; those without an accepted pair stand alone."""
+def swept_sums(clusters: DataFrame, truth: DataFrame, settings: int) -> DataFrame:
+    """``setting`` and the sums of its cluster metrics over the labelled postings; those without an accepted pair stand alone."""
     numbers = clusters.sparkSession.range(settings).select(F.col("id").cast("int").alias("setting"))  # the stated grid
     every = truth.select(F.col("id").alias("posting_id")).crossJoin(F.broadcast(numbers))
     a = every.join(clusters.select("setting", "posting_id", "first_posting_id"), ["setting", "posting_id"], "left").select(
         "setting", "posting_id", F.coalesce("first_posting_id", "posting_id").alias("entity_id")
     )
-    return cluster_metrics(contingency(a, truth, ("setting",)), ("setting",))
+    return cluster_sums(contingency(a, truth, ("setting",)), ("setting",))
 
 
 def group_recovery(table: DataFrame) -> DataFrame:

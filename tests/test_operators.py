@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.errors import ConfigurationError, ContractError
 from kinmatch.functions.hashes import phash_bits
-from kinmatch.operators import ann, audit, clusters, matcher, metrics, mining, models, pairs, rankers, sampling, splits, stored
+from kinmatch.operators import ann, audit, clusters, matcher, metrics, mining, models, pairs, rankers, sampling, splits, stored, sweep
 from kinmatch.plans import catalogue, inputs
 from kinmatch.sources import guards
 from tests.conftest import rows
@@ -274,6 +274,50 @@ def test_clusters_of_large_components_equal_a_direct_merge(spark):
         clusters.COMPONENT_EDGES = limit
 
 
+def test_rounds_of_numbered_pairs_equal_a_direct_merge():
+    few = sweep.FEW_PAIRS
+    try:
+        for seed in range(60):
+            r = random.Random(seed)
+            nodes = r.choice((12, 30, 80))
+            some = {tuple(sorted(r.sample(range(nodes), 2))): round(r.uniform(0.5, 1), r.choice((1, 3))) for _ in range(r.choice((20, 150, 400)))}
+            some |= {(0, v): round(r.uniform(0.5, 1), 2) for v in range(1, nodes)} if seed % 3 == 0 else {}  # a posting that meets every other
+            edges = sorted(((f"{a:02d}", f"{b:02d}", p, p, False) for (a, b), p in some.items()), key=lambda e: (-e[2], e[0], e[1]))
+            a, b = (np.array([int(e[i]) for e in edges], dtype=np.int32) for i in (0, 1))
+            for coverage, most, sweep.FEW_PAIRS in ((1.0, 64, 0), (0.5, 64, 0), (0.5, 64, 50), (0.4, 7, 0), (0.3, 5, 10), (0.0, 6, 0)):
+                members, taken, large, thin = clusters.merge_strongest(edges, most=most, coverage=coverage)
+                ways = [sweep.merge_in_rounds(a, b, nodes, most=most, coverage=coverage)]
+                if not coverage:
+                    ways += list(sweep.merge_unbounded(a, b, nodes, most=most, stops=[len(a) // 2, len(a)]))[1:]
+                for home, merged, *counts in ways:
+                    assert counts == [large, thin] and sorted(merged) == sorted(edges.index(e) for e in taken)
+                    assert {tuple(vs) for vs in members.values()} == {tuple(f"{v:02d}" for v in np.flatnonzero(home == k)) for k in set(home[np.concatenate([a, b])].tolist())}
+    finally:
+        sweep.FEW_PAIRS = few
+
+
+def test_policies_in_tasks_equal_those_in_tables(spark, small):
+    some = [dict(s, name=f"n{i}") for i, s in enumerate(catalogue.SWEEP) if i % 13 == 0] + [SETTING | {"name": "x", "coverage": 0.5, "most": 5}, SETTING | {"name": "y", "coverage": 0.0, "most": 3}]
+    p, truth = catalogue._pairs(spark, small), inputs.listing_labels(spark, small)
+    limit, got = sweep.GATE_PAIRS, []
+    try:
+        for sweep.GATE_PAIRS in (limit, 0, 60):  # none, all and some in tables
+            found = sweep.policy_results(p, truth, some)
+            got.append((rows(sweep.diagnostics(found)), rows(catalogue.rounded(sweep.quality(found)))))
+    finally:
+        sweep.GATE_PAIRS = limit
+    assert got[0] == got[1] == got[2] and len(got[0][0]) == len(got[0][1]) == len(some)
+    none = p.where("false")
+    assert len(rows(sweep.quality(sweep.policy_results(none, truth, some)))) == len(some) and not rows(sweep.diagnostics(sweep.policy_results(none, None, some)))
+
+
+def test_a_sweep_writes_no_row_for_each_policy(spark, small, monkeypatch):
+    write, written = sweep.Scratch.write, []
+    monkeypatch.setattr(sweep.Scratch, "write", lambda self, df: written.append(write(self, df)) or written[-1])
+    assert catalogue.cluster_sweep(spark, small).count() == len(catalogue.SWEEP)
+    assert max(df.count() for df in written) <= catalogue._pairs(spark, small).count() + inputs.listing_labels(spark, small).count()
+
+
 def test_cluster_metrics_of_perfect_partition(spark):
     t = spark.createDataFrame([("e1", "g1", 3), ("e2", "g2", 1)], "entity string, label string, n long")
     m = clusters.cluster_metrics(t).first()
