@@ -318,6 +318,19 @@ def test_a_sweep_writes_no_row_for_each_policy(spark, small, monkeypatch):
     assert max(df.count() for df in written) <= catalogue._pairs(spark, small).count() + inputs.listing_labels(spark, small).count()
 
 
+def test_diagnostics_of_the_policies_write_no_row_for_each(spark, small, monkeypatch):
+    write, written = sweep.Scratch.write, []
+    monkeypatch.setattr(sweep.Scratch, "write", lambda self, df: written.append(write(self, df)) or written[-1])
+    got = {r["setting"]: r for r in catalogue.cluster_diagnostics(spark, small).collect()}
+    p = catalogue._pairs(spark, small)
+    assert max(df.count() for df in written) <= 2 * p.count()  # pairs, or their ends
+    s = catalogue.SWEEP[-1]
+    edges = [tuple(r) for r in pairs.gated_pairs(p, **{k: s[k] for k in ("threshold", "reciprocal", "override")}).where("gate = 'eligible'").select("left_posting_id", "right_posting_id", "pair_probability", "cosine_similarity", "variant_conflict").collect()]
+    members, taken, large, thin = clusters.merge_strongest(edges, most=s["most"], coverage=s["coverage"])
+    last = got[len(catalogue.SWEEP) - 1]
+    assert (last["merges"], last["size_rejections"], last["consistency_rejections"], last["clusters"]) == (len(taken), large, thin, len(members))
+
+
 def test_cluster_metrics_of_perfect_partition(spark):
     t = spark.createDataFrame([("e1", "g1", 3), ("e2", "g2", 1)], "entity string, label string, n long")
     m = clusters.cluster_metrics(t).first()
