@@ -275,9 +275,10 @@ def test_clusters_of_large_components_equal_a_direct_merge(spark):
 
 
 def test_rounds_of_numbered_pairs_equal_a_direct_merge():
-    few = sweep.FEW_PAIRS
+    few, turn = sweep.FEW_PAIRS, sweep.TURN_PAIRS
     try:
         for seed in range(60):
+            sweep.TURN_PAIRS = (turn, 10)[seed % 2]
             r = random.Random(seed)
             nodes = r.choice((12, 30, 80))
             some = {tuple(sorted(r.sample(range(nodes), 2))): round(r.uniform(0.5, 1), r.choice((1, 3))) for _ in range(r.choice((20, 150, 400)))}
@@ -293,7 +294,7 @@ def test_rounds_of_numbered_pairs_equal_a_direct_merge():
                     assert counts == [large, thin] and sorted(merged) == sorted(edges.index(e) for e in taken)
                     assert {tuple(vs) for vs in members.values()} == {tuple(f"{v:02d}" for v in np.flatnonzero(home == k)) for k in set(home[np.concatenate([a, b])].tolist())}
     finally:
-        sweep.FEW_PAIRS = few
+        sweep.FEW_PAIRS, sweep.TURN_PAIRS = few, turn
 
 
 def test_policies_in_tasks_equal_those_in_tables(spark, small):
@@ -331,6 +332,15 @@ def test_diagnostics_of_the_policies_write_no_row_for_each(spark, small, monkeyp
     assert (last["merges"], last["size_rejections"], last["consistency_rejections"], last["clusters"]) == (len(taken), large, thin, len(members))
 
 
+def test_the_selected_policy_comes_from_a_sweep_without_a_row_for_each_policy(spark, small, monkeypatch):
+    write, written = sweep.Scratch.write, []
+    monkeypatch.setattr(sweep.Scratch, "write", lambda self, df: written.append(write(self, df)) or written[-1])
+    got = catalogue.selected_policy(spark, small).collect()
+    assert max(df.count() for df in written) <= catalogue._pairs(spark, small).count() + inputs.listing_labels(spark, small).count()
+    key = lambda r: (r["pairwise_precision"] >= catalogue.MINIMUM_PRECISION, r["b_cubed_f1"], r["pairwise_f1"], r["pairwise_precision"], -r["false_split_group_rate"], r["threshold"], -r["reciprocal"], r["coverage"])
+    assert got == [max(catalogue.cluster_sweep(spark, small).collect(), key=key)]
+
+
 def test_cluster_metrics_of_perfect_partition(spark):
     t = spark.createDataFrame([("e1", "g1", 3), ("e2", "g2", 1)], "entity string, label string, n long")
     m = clusters.cluster_metrics(t).first()
