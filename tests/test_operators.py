@@ -178,6 +178,12 @@ def test_star_components_equal_union_find(spark):
     assert splits.star_components(spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
+def test_the_digest_of_many_edges_does_not_overflow(spark, monkeypatch):
+    monkeypatch.setattr(splits.Scratch, "write", lambda self, df: df)  # only the digest runs
+    edges = spark.range(1, 17_500_000).select(F.col("id").alias("src"), F.lit(0).alias("dst"))
+    assert splits.star_components(edges, finish_edges=20_000_000).columns == ["node", "root"]
+
+
 def test_components_join_labels_by_shared_values_and_splits_hold(spark):
     data = [(f"p{i}", f"g{i // 3:02d}", f"h{i // 3}", f"img{i}") for i in range(90)] + [("x", "g00", "shared", None), ("y", "g01", "shared", None)]
     df = spark.createDataFrame(data, "posting_id string, label_group string, image_phash string, image string")
@@ -332,6 +338,19 @@ def test_diagnostics_of_the_policies_write_no_row_for_each(spark, small, monkeyp
     assert (last["merges"], last["size_rejections"], last["consistency_rejections"], last["clusters"]) == (len(taken), large, thin, len(members))
 
 
+def test_diagnostics_gate_pairs_without_a_rank_or_number_alike_in_tasks_and_tables(spark):
+    found = [("a", "b", 0.9, 0.9, 1, 1), ("b", "c", 0.9, 0.7, None, None), ("c", "d", 0.9, 0.7, None, 3), ("d", "e", 0.9, float("nan"), 1, 1), ("e", "f", 0.9, 0.7, None, 9)]
+    p = spark.createDataFrame([(*x, False) for x in found], PAIR)
+    eligible = pairs.gated_pairs(p, **{k: SETTING[k] for k in ("threshold", "reciprocal", "override")}).where("gate = 'eligible'").count()
+    limit = sweep.GATE_PAIRS
+    try:
+        for sweep.GATE_PAIRS in (limit, 0):  # in tasks, in tables
+            got = sweep.diagnostics(sweep.policy_results(p, None, [SETTING | {"coverage": c} for c in (0.0, 0.2)])).orderBy("setting").collect()
+            assert [(r["merges"], r["clusters"]) for r in got] == [(eligible, 1)] * 2 and eligible == 4
+    finally:
+        sweep.GATE_PAIRS = limit
+
+
 def test_the_selected_policy_comes_from_a_sweep_without_a_row_for_each_policy(spark, small, monkeypatch):
     write, written = sweep.Scratch.write, []
     monkeypatch.setattr(sweep.Scratch, "write", lambda self, df: written.append(write(self, df)) or written[-1])
